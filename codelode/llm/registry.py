@@ -6,9 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_join
+from . import langid, ngram_join, pii
 
-_OPERATORS = {"op2_ngram_jaccard_join": ngram_join}
+_OPERATORS = {
+    "op2_ngram_jaccard_join": ngram_join,
+    "op5_language_id": langid,
+    "op6_pii_semi_markov": pii,
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
