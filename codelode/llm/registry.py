@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, ngram_join, pii
+from . import langid, mixing, ngram_join, packing, pii
 
 _OPERATORS = {
     "op2_ngram_jaccard_join": ngram_join,
+    "op3_mix_sources": mixing,
     "op5_language_id": langid,
     "op6_pii_semi_markov": pii,
+    "op8_pack_windows": packing,
 }
 
 
