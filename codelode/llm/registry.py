@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mixing, ngram_join, packing, pii
+from . import fingerprints, html_extract, langid, mixing, ngram_join, packing, pii
 
 _OPERATORS = {
+    "op1_html_extract": html_extract,
     "op2_ngram_jaccard_join": ngram_join,
     "op3_mix_sources": mixing,
+    "op4_fingerprints": fingerprints,
     "op5_language_id": langid,
     "op6_pii_semi_markov": pii,
     "op8_pack_windows": packing,
