@@ -38,7 +38,7 @@ _BLOCK = frozenset("address article aside blockquote body br caption center dd d
 _SKIP = "script|style|noscript|template|textarea|svg|iframe"
 _PIECE = re.compile(rf"(?is)<!--.*?(?:-->|\Z)|<({_SKIP})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-z][a-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>|<[!?][^>]*>")
 _BLANK = re.compile(r"\s+")
-_EDGES = ".,;:!?\"'()[]«»“”„¿¡…-–—"
+_EDGES = ".,;:!?\"'()[]{}<>#$%&*+/=@\\^_`|~«»“”„¿¡…-–—"
 
 
 @dataclass

@@ -43,6 +43,20 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 IS_WORD, LOWER, _VALUE = _tables()
+
+
+def word_table(also: str, same: dict[str, str]) -> tuple[np.ndarray, np.ndarray]:
+    """A table for words(): the characters of `also` belong to words, and keys of `same` count as their values."""
+    word, value = IS_WORD.copy(), _VALUE.copy()
+    for c in also:
+        word[ord(c)] = True
+        value[ord(c)] = mix64(np.array([ord(c) + 1], np.uint64))[0]
+    for c, d in same.items():
+        word[ord(c)] = True
+        value[ord(c)] = value[ord(d)]
+    return word, value
+
+
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -80,8 +94,9 @@ def slices(offs: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int
         i = min(j, n)
 
 
-def words(b: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(b: np.ndarray, offs: np.ndarray, table: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the words of some rows, the words' start and end bytes, and each row's first word (with the total at the end)."""
+    is_word, value = table or (IS_WORD, _VALUE)
     base, end = int(offs[0]), int(offs[-1])
     t = b[base:end]
     n = len(t)
@@ -89,7 +104,7 @@ def words(b: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     if not n:
         z = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), z, z, np.zeros(len(offs), np.int64)
-    w = IS_WORD[t]
+    w = is_word[t]
     first = np.zeros(n + 1, bool)
     first[rel] = True
     start = w.copy()
@@ -101,15 +116,27 @@ def words(b: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     up, down = _powers(max(n, SLICE_BYTES + 1))
     total = np.empty(n + 1, np.uint64)
     total[0] = 0
-    np.cumsum(_VALUE[t] * up[:n], out=total[1:])
+    np.cumsum(value[t] * up[:n], out=total[1:])
     h = mix64((total[e] - total[s]) * down[s])
     return h, s + base, e + base, np.searchsorted(s, rel).astype(np.int64)
 
 
-def word_hash(word: str) -> int:
+def prefix_hashes(b: np.ndarray, s: np.ndarray, e: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the words' first `size` bytes, as words() would have them; 0 for words that are no longer than that."""
+    up, _ = _powers(max(size, SLICE_BYTES + 1))
+    out = np.zeros(len(s), np.uint64)
+    k = np.flatnonzero(e - s > size)
+    x = np.zeros(len(k), np.uint64)
+    for i in range(size):
+        x += _VALUE[b[s[k] + i]] * up[i]
+    out[k] = mix64(x)
+    return out
+
+
+def word_hash(word: str, table: tuple[np.ndarray, np.ndarray] | None = None) -> int:
     """The hash of one word as words() has it."""
     raw = word.encode()
-    h = words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)], np.int64))[0]
+    h = words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)], np.int64), table)[0]
     if len(h) != 1:
         raise ValueError(f"not one word: {word!r}")
     return int(h[0])
