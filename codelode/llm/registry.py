@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, html_extract, langid, mixing, ngram_join, packing, pii
+from . import fingerprints, hmm, html_extract, langid, mixing, ngram_join, packing, pii, topk_search, toxicity
 
 _OPERATORS = {
     "op1_html_extract": html_extract,
@@ -15,7 +15,10 @@ _OPERATORS = {
     "op4_fingerprints": fingerprints,
     "op5_language_id": langid,
     "op6_pii_semi_markov": pii,
+    "op7_toxicity": toxicity,
     "op8_pack_windows": packing,
+    "op9_hmm_scores": hmm,
+    "op10_topk_search": topk_search,
 }
 
 

@@ -4,8 +4,8 @@ Features of a document: densities of two lexicons (a built-in list of insults, a
 toxic documents in the labelled rows), how much of the hits stands near a second-person word, shares of capitals,
 punctuation and symbols, and rates of obfuscation (hits that show only after undoing letter substitutions and masks,
 digits inside words, stretched letters). The trees, the calibration and the learned lexicon are fitted here on at most
-ROWS labelled documents: the lexicon on one half of them, the trees on the other, the calibration on the trees'
-predictions for rows that they were not fitted on.
+ROWS labelled documents, in FOLDS parts: the trees see each part with a lexicon learned from the others, and the
+calibration is fitted on predictions of trees for parts that they were not fitted on.
 """
 
 from __future__ import annotations
@@ -19,11 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import pick
-from .textops import buffers, prefix_hashes, slices, word_hash, word_table, words
+from .textops import buffers, gram_sets, mix64, prefix_hashes, slices, word_hash, word_table, words
 
 #: The bound of the labelled sample: the rows of least hash of doc_id.
 ROWS = 8000
-ROUNDS, DEPTH, RATE, BINS, LEAF = 60, 3, 0.15, 32, 8
+ROUNDS, DEPTH, RATE, BINS = 60, 3, 0.15, 32
+FOLDS = 3
 #: A toxic document has at least this calibrated probability.
 CUT = 0.5
 NEAR = 5
@@ -66,7 +67,7 @@ def _per_row(mask: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.diff(np.concatenate([[0], np.cumsum(mask)])[first])
 
 
-Lexicon = dict[int, np.ndarray]  # by length of the word beginning, 0 for whole words: sorted hashes
+Lexicon = dict[int, np.ndarray]  # by length of the word beginning, 0 for whole words: sorted 48-bit hashes
 
 
 def _keys(b: np.ndarray, h: np.ndarray, s: np.ndarray, e: np.ndarray) -> dict[int, np.ndarray]:
@@ -84,7 +85,7 @@ def features(b: np.ndarray, offs: np.ndarray, lexicon: Lexicon) -> np.ndarray:
     plain = _isin(h, _PLAIN)
     learned = np.zeros(len(h), bool)
     for p, x in _keys(b, h, s, e).items():
-        learned |= _isin(x, lexicon.get(p, np.zeros(0, np.uint64)))
+        learned |= _isin(x >> np.uint64(16), lexicon.get(p, np.zeros(0, np.uint64)))
     any_hit = plain | learned
     you = _isin(h, _YOU)
     # second person within NEAR words, in the same row
@@ -145,9 +146,9 @@ def learn_lexicon(b: np.ndarray, offs: np.ndarray, toxic: np.ndarray) -> Lexicon
         rows = np.repeat(np.arange(j - i), np.diff(first))
         for p, x in _keys(b, h, s, e).items():
             keep = x != 0
-            key = np.unique(np.stack([x[keep], rows[keep].astype(np.uint64)], 1), axis=0)
-            counts[p]["k"].append(key[:, 0])
-            counts[p]["t"].append(toxic[i:j][key[:, 1].astype(np.int64)])
+            key = np.unique((rows[keep].astype(np.uint64) << np.uint64(48)) | (x[keep] >> np.uint64(16)))
+            counts[p]["k"].append(key & np.uint64((1 << 48) - 1))
+            counts[p]["t"].append(toxic[i:j][(key >> np.uint64(48)).astype(np.int64)])
     out: Lexicon = {}
     for p, c in counts.items():
         if not c["k"]:
@@ -192,6 +193,7 @@ def boost(x: np.ndarray, y: np.ndarray) -> Trees:
     base = float(np.log(p0 / (1 - p0)))
     margin = np.full(len(y), base)
     inner, leaves = 2**DEPTH - 1, 2**DEPTH
+    least = 8 if y.sum() >= 200 else 3
     F_, C_, V_ = [], [], []
     for _ in range(ROUNDS):
         p = 1 / (1 + np.exp(-margin))
@@ -208,7 +210,7 @@ def boost(x: np.ndarray, y: np.ndarray) -> Trees:
                 hs = np.cumsum(np.bincount(code[rows, q], h[rows], width))[:-1]
                 cs = np.cumsum(np.bincount(code[rows, q], minlength=width))[:-1]
                 gain = gs**2 / (hs + 1) + (G - gs) ** 2 / (H - hs + 1) - G**2 / (H + 1)
-                gain[(cs < LEAF) | (len(rows) - cs < LEAF)] = -1
+                gain[(cs < least) | (len(rows) - cs < least)] = -1
                 if len(gain) and gain.max() > best[0]:
                     best = (float(gain.max()), q, int(gain.argmax()))
             right = np.zeros(len(rows), bool)
@@ -257,25 +259,41 @@ def predict(m: Model, x: np.ndarray) -> np.ndarray:
     return m.prob[np.maximum(k, 0)]
 
 
+def _unlike(texts: list[str]) -> list[int]:
+    """Indexes without near copies, which would make chance words of a copied text look telling: no two share a min-hash of four."""
+    seen: set[tuple[int, int]] = set()
+    out = []
+    for k, text in enumerate(texts):
+        raw = text.encode()
+        h, _, _, first = words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)], np.int64))
+        v, _ = gram_sets(h, first, 3)
+        mine = {(q, int(mix64(v.astype(np.uint64) + np.uint64(q << 50)).min())) for q in range(4)} if len(v) else {(0, 0)}
+        if not mine & seen:
+            out.append(k)
+        seen |= mine
+    return out
+
+
 def train(texts: list[str], toxic: list[int]) -> Model:
     """Rows in any order give the same model. Without both labels every document has probability 0."""
     order = sorted(range(len(texts)), key=lambda k: (texts[k], toxic[k]))
+    order = [order[k] for k in _unlike([texts[k] for k in order])]
     y = np.array([toxic[k] for k in order], float)
     col = pa.array([texts[k] for k in order], pa.large_string())
-    half = np.random.default_rng(11).permutation(len(order)) % 2 == 0
-    if len(order) < 4 or y.min() == y.max():
+    if len(order) < 2 * FOLDS or y.min() == y.max():
         return Model({}, None, np.zeros(1), np.zeros(1))
-    b, offs = buffers(col.filter(pa.array(half)))
-    lexicon = learn_lexicon(b, offs, y[half])
-    b, offs = buffers(col.filter(pa.array(~half)))
-    x = np.concatenate([features(b, offs[i : j + 1], lexicon) for i, j in slices(offs)])
-    y = y[~half]
-    fold = np.arange(len(y)) % 3
+    fold = np.random.default_rng(11).permutation(len(order)) % FOLDS
+    x = np.zeros((len(y), len(NAMES)))
+    for k in range(FOLDS):
+        b, offs = buffers(col.filter(pa.array(fold != k)))
+        lexicon = learn_lexicon(b, offs, y[fold != k])
+        b, offs = buffers(col.filter(pa.array(fold == k)))
+        x[fold == k] = np.concatenate([features(b, offs[i : j + 1], lexicon) for i, j in slices(offs)])
     out = np.zeros(len(y))
-    for k in range(3):
+    for k in range(FOLDS):
         out[fold == k] = _score(boost(x[fold != k], y[fold != k]), x[fold == k])
     at, prob = isotonic(out, y)
-    return Model(lexicon, boost(x, y), at, prob)
+    return Model(learn_lexicon(*buffers(col), y), boost(x, y), at, prob)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> tuple[list[str], list[int]]:
