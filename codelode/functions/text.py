@@ -158,6 +158,10 @@ def language_of(path: Column) -> Column:
     return F.try_element_at(table, F.lower(F.regexp_extract(path, r"\.([A-Za-z]+)$", 1)))
 
 
+def _matching(rx: str):
+    return lambda s: s.rlike(rx)
+
+
 def matches_ignore(path: Column, patterns: list[str]) -> Column:
     """Patterns that end in / name a directory anywhere (with * as a wild card), others a whole path or a base name."""
     segments = F.split(path, "/")
@@ -165,7 +169,7 @@ def matches_ignore(path: Column, patterns: list[str]) -> Column:
     for p in patterns:
         rx = "^" + "".join("[^/]*" if c == "*" else "[.]" if c == "." else c for c in p.rstrip("/")) + "$"
         if p.endswith("/"):
-            out = out | F.exists(segments, lambda s, rx=rx: s.rlike(rx))
+            out = out | F.exists(segments, _matching(rx))
         else:
             out = out | path.rlike(rx) | basename(path).rlike(rx)
     return out

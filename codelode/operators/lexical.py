@@ -44,7 +44,10 @@ def lengths(chunks: DataFrame, fields: list[str]) -> DataFrame:
 
 def _occurrences(toks: DataFrame, fields: list[str]) -> DataFrame:
     """(chunk_id, dl, term, f_<field>...) for every token."""
-    flag = F.concat(*[F.transform(f"t_{f}", lambda t, k=k: F.struct(t.alias("term"), F.lit(k).alias("k"))) for k, f in enumerate(fields)])
+    def flagged(k: int, f: str) -> Column:
+        return F.transform(f"t_{f}", lambda t: F.struct(t.alias("term"), F.lit(k).alias("k")))
+
+    flag = F.concat(*[flagged(k, f) for k, f in enumerate(fields)])
     return toks.select("chunk_id", "dl", F.explode(flag).alias("x")).select("chunk_id", "dl", F.col("x.term").alias("term"), *[(F.col("x.k") == k).cast("int").alias(f"f_{f}") for k, f in enumerate(fields)])
 
 
@@ -55,6 +58,27 @@ def phrase_hits(tok: Column, phrase: Column) -> Column:
     return F.when(F.size(tok) < F.size(p), 0).otherwise(F.size(F.filter(at, lambda i: F.slice(tok, i, F.size(p)) == p)))
 
 
+def _phrase_matches(toks: DataFrame, phrases: DataFrame, fields: list[str]) -> DataFrame:
+    """matches() of phrases (term) of several words: a phrase is looked up by its rarest word, and only those places are compared."""
+    word = phrases.select("term", F.posexplode(F.split("term", " ")).alias("off", "word"))
+    wanted = _small(word.select(F.col("word").alias("term")).distinct(), BROADCAST_TERMS)
+
+    def placed(k: int, f: str) -> Column:
+        return F.transform(f"t_{f}", lambda t, i: F.struct(t.alias("term"), F.lit(k).alias("k"), i.alias("i")))
+
+    places = toks.select("chunk_id", F.explode(F.concat(*[placed(k, f) for k, f in enumerate(fields)])).alias("x")).select("chunk_id", "x.*").join(wanted, "term", "left_semi")
+    counts = places.groupBy("term").agg(F.count("*").alias("c"))
+    # a word that occurs nowhere rules its phrase out
+    rare = word.join(counts, F.col("word") == counts["term"], "left").select(word["term"].alias("phrase"), "off", "word", F.coalesce("c", F.lit(0)).alias("c"))
+    rare = rare.groupBy("phrase").agg(F.min(F.struct("c", "off", "word")).alias("r")).where("r.c > 0").select("phrase", "r.off", F.col("r.word").alias("term"))
+    at = places.join(_small(rare, BROADCAST_TERMS), "term").where("i >= off").select("chunk_id", "k", "phrase", (F.col("i") - F.col("off") + 1).alias("at"))
+    own = at.join(toks, "chunk_id")
+    p = F.split("phrase", " ")
+    tok = F.element_at(F.array(*[F.col(f"t_{f}") for f in fields]), F.col("k") + 1)
+    hit = own.where(F.slice(tok, F.col("at"), F.size(p)) == p)
+    return hit.groupBy("chunk_id", "dl", F.col("phrase").alias("term")).agg(*[F.sum((F.col("k") == k).cast("int")).alias(f"f_{f}") for k, f in enumerate(fields)])
+
+
 def matches(chunks: DataFrame, phrases: DataFrame, fields: list[str]) -> DataFrame:
     """(chunk_id, dl, term, f_<field>...): how often each term or phrase occurs in each field of a chunk, if it does."""
     toks = lengths(chunks, fields)
@@ -64,9 +88,7 @@ def matches(chunks: DataFrame, phrases: DataFrame, fields: list[str]) -> DataFra
     words = _occurrences(toks, fields).join(_small(single, BROADCAST_TERMS), "term", "left_semi").groupBy("chunk_id", "dl", "term").agg(*[F.sum(f"f_{f}").alias(f"f_{f}") for f in fields])
     if long.isEmpty():
         return words
-    # phrases of several words are few; chunks are first cut to those that have the first word
-    several = toks.crossJoin(F.broadcast(long)).where(F.arrays_overlap(F.array(F.split("term", " ")[0]), F.concat(*[F.col(f"t_{f}") for f in fields])))
-    several = several.select("chunk_id", "dl", "term", *[phrase_hits(F.col(f"t_{f}"), F.col("term")).alias(f"f_{f}") for f in fields]).where(" or ".join(f"f_{f} > 0" for f in fields))
+    several = _phrase_matches(toks, long, fields)
     return words.unionByName(several.select(words.columns))
 
 
