@@ -78,7 +78,8 @@ def camel_parts(token: Column) -> Column:
 def expand_identifiers(text: Column) -> Column:
     """The text, and on a new line the sorted distinct parts (of two characters or more) of its compound identifiers."""
     names = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[A-Za-z_][A-Za-z0-9_]{2,}"), F.lit(0))
-    parts = F.flatten(F.transform(names, lambda n: F.when(F.size(camel_parts(n)) > 1, camel_parts(n)).otherwise(F.array().cast("array<string>"))))
+    compound = F.filter(names, lambda n: n.rlike("_|[a-z0-9][A-Z]|[A-Z][A-Z][a-z]"))
+    parts = F.flatten(F.filter(F.transform(F.array_distinct(compound), lambda n: camel_parts(n)), lambda p: F.size(p) > 1))
     parts = F.array_sort(F.array_distinct(F.filter(F.transform(parts, lambda p: F.lower(p)), lambda p: F.length(p) > 1)))
     return F.when(F.size(parts) > 0, F.concat(text, F.lit("\n"), F.array_join(parts, " "))).otherwise(text)
 
@@ -88,12 +89,19 @@ def compound_split(token: Column) -> Column:
     snake = F.filter(F.split(token, "_"), lambda p: p != "")
     camel = camel_parts(token)
     return (
-        F.when(token.contains("_") & (F.size(snake) > 1), F.concat(F.array(token), snake))
+        F.when(~token.rlike("_|[a-z0-9][A-Z]|[A-Z][A-Z][a-z]"), F.array(token))
+        .when(token.contains("_") & (F.size(snake) > 1), F.concat(F.array(token), snake))
         .when(~token.contains("_") & (F.size(camel) > 1), F.concat(F.array(token), F.transform(camel, lambda p: F.lower(p))))
         .otherwise(F.array(token))
     )
 
 
+def _neighbours(items: Column) -> Column:
+    """Adjacent items joined by _; the array is computed once a row, not once an item."""
+    both = F.arrays_zip(items.alias("a"), F.slice(items, F.lit(2), F.greatest(F.size(items), F.lit(0))).alias("b"))
+    return F.transform(F.filter(both, lambda x: x["b"].isNotNull()), lambda x: F.concat_ws("_", x["a"], x["b"]))
+
+
 def query_terms(question: Column) -> Column:
     """Sorted content words, parts of compounds, adjacent pairs joined by _, and synonyms of architectural words."""
     found = F.regexp_extract_all(F.coalesce(question, F.lit("")), F.lit("[A-Za-z_][A-Za-z0-9_]{2,}"), F.lit(0))
@@ -101,8 +109,7 @@ def query_terms(question: Column) -> Column:
     kept = F.filter(found, lambda w: ~F.array_contains(stop, F.lower(w)))
     flat = F.flatten(F.transform(kept, lambda w: F.transform(compound_split(w), lambda p: F.lower(p))))
     flat = F.filter(flat, lambda p: (F.length(p) >= 3) & ~F.array_contains(stop, p))
-    none = F.array().cast("array<string>")
-    pairs = F.when(F.size(flat) > 1, F.transform(F.sequence(F.lit(1), F.size(flat) - 1), lambda i: F.concat_ws("_", F.element_at(flat, i), F.element_at(flat, i + 1)))).otherwise(none)
+    pairs = _neighbours(flat)
     table = F.create_map(*[x for k, v in sorted(SYNONYMS.items()) for x in (F.lit(k), _words(v.split()))])
     both = F.array_distinct(F.concat(flat, pairs))
     more = F.flatten(F.transform(F.filter(both, lambda t: F.map_contains_key(table, t)), lambda t: F.try_element_at(table, t)))
@@ -123,8 +130,7 @@ def symbol_terms(question: Column) -> Column:
     """Adjacent pairs joined by _, then words of six letters or more."""
     found = F.transform(F.regexp_extract_all(F.coalesce(question, F.lit("")), F.lit("[A-Za-z_][A-Za-z0-9_]{2,}"), F.lit(0)), lambda w: F.lower(w))
     kept = F.filter(found, lambda w: ~F.array_contains(_words(SYMBOL_NOISE), w))
-    none = F.array().cast("array<string>")
-    pairs = F.when(F.size(kept) > 1, F.transform(F.sequence(F.lit(1), F.size(kept) - 1), lambda i: F.concat_ws("_", F.element_at(kept, i), F.element_at(kept, i + 1)))).otherwise(none)
+    pairs = _neighbours(kept)
     return F.array_distinct(F.concat(pairs, F.filter(kept, lambda w: F.length(w) >= 6)))
 
 

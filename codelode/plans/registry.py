@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lexical_queries
+from . import lexical_queries, text_queries
 
-_MODULES = [lexical_queries]
+_MODULES = [lexical_queries, text_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
