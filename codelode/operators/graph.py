@@ -143,3 +143,79 @@ def cohesion(edges: DataFrame, members: DataFrame) -> DataFrame:
     n = F.col("n_files")
     return m.groupBy("module").agg(F.count("*").alias("n_files")).join(inner, "module", "left").select("module", "n_files", F.when(n < 2, 1.0).otherwise(F.round(F.coalesce("e", F.lit(0)) / (n * (n - 1) / 2), 4)).alias("cohesion"))
 
+
+
+def _louvain(pairs: list[tuple[str, str]]) -> dict[str, str]:
+    """node -> least node of its community, by greedy modularity in passes over nodes in order of name, then over communities."""
+    names = sorted({x for p in pairs for x in p})
+    index = {n: k for k, n in enumerate(names)}
+    links: list[dict[int, float]] = [{} for _ in names]
+    for a, b in pairs:
+        x, y = index[a], index[b]
+        links[x][y] = links[x].get(y, 0.0) + 1.0
+        links[y][x] = links[y].get(x, 0.0) + 1.0
+    owner = list(range(len(names)))
+    while True:
+        degree = [sum(v.values()) for v in links]
+        total = sum(degree) or 1.0
+        own, mass, moved_any, moved = list(range(len(links))), degree[:], False, True
+        while moved:
+            moved = False
+            for v in range(len(links)):
+                near: dict[int, float] = {}
+                for u, w in links[v].items():
+                    if u != v:
+                        near[own[u]] = near.get(own[u], 0.0) + w
+                mass[own[v]] -= degree[v]
+                stay = near.get(own[v], 0.0) - degree[v] * mass[own[v]] / total
+                best, gain = own[v], stay
+                for c in sorted(near):
+                    g = near[c] - degree[v] * mass[c] / total
+                    if g > gain + 1e-12:
+                        best, gain = c, g
+                mass[best] += degree[v]
+                if best != own[v]:
+                    own[v], moved, moved_any = best, True, True
+        if not moved_any:
+            break
+        ids = {c: k for k, c in enumerate(sorted(set(own)))}
+        merged: list[dict[int, float]] = [{} for _ in ids]
+        for v, row in enumerate(links):
+            for u, w in row.items():
+                x, y = ids[own[v]], ids[own[u]]
+                merged[x][y] = merged[x].get(y, 0.0) + w
+        owner = [ids[own[o]] for o in owner]
+        links = merged
+    first: dict[int, str] = {}
+    for n, o in zip(names, owner):
+        first.setdefault(o, n)
+    return {n: first[o] for n, o in zip(names, owner)}
+
+
+def communities(edges: DataFrame) -> DataFrame:
+    """(node, module): modules of greatest modularity, direction disregarded; a module is named by its least node.
+
+    Connected components are found first and each is one task's, as modules never span two of them: the largest
+    component, a repository's files as a rule, has to fit one task.
+    """
+    import pandas as pd
+
+    pair = edges.select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).where("a <> b").distinct()
+    parts = pair.join(connected(edges).withColumnRenamed("node", "a"), "a")
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        found = _louvain(sorted(zip(f["a"], f["b"])))
+        return pd.DataFrame({"node": list(found), "module": list(found.values())})
+
+    return parts.groupBy("root").applyInPandas(run, "node string, module string")
+
+
+def module_name(members: DataFrame) -> DataFrame:
+    """(module, name) of members (module, node): base name of the directories' common beginning, or of the only file without its ending."""
+    d = members.select("module", "node", directory(F.col("node")).alias("d"))
+    g = d.groupBy("module").agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.min("node").alias("node"))
+    same = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("lo"))), F.lit(0), lambda n, i: F.when((n == i - 1) & (i <= F.length("lo")) & (F.substring(F.col("lo"), i, F.lit(1)) == F.substring(F.col("hi"), i, F.lit(1))), i).otherwise(n))
+    prefix = F.regexp_replace(F.substring(F.col("lo"), F.lit(1), same), "/+$", "")
+    stem = F.regexp_replace(F.regexp_extract("node", "[^/]*$", 0), r"\.[^.]*$", "")
+    base = F.regexp_extract(prefix, "[^/]*$", 0)
+    return g.select("module", F.when(base != "", base).otherwise(stem).alias("name"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunk_queries, lexical_queries, text_queries, vector_queries
+from . import assemble_queries, chunk_queries, graph_queries, lexical_queries, text_queries, vector_queries
 
-_MODULES = [lexical_queries, text_queries, chunk_queries, vector_queries]
+_MODULES = [lexical_queries, text_queries, chunk_queries, vector_queries, graph_queries, assemble_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
