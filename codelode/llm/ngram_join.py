@@ -207,9 +207,10 @@ def near_duplicate_groups(docs: DataFrame, n: int = N, threshold: float = THRESH
 
 
 def drop_near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, sample: int = SAMPLE, skip: float = SKIP) -> DataFrame:
-    """The rows of docs, of each group of near duplicates only those of its least doc_id. Documents that join nothing stay, null ids too."""
-    lose = near_duplicate_groups(docs, n, threshold, sample, skip).where("doc_id <> keeper").select(F.col("doc_id").alias("_lost_id"))
-    return docs.join(lose, docs["doc_id"] == lose["_lost_id"], "left_anti")
+    """The rows of docs, of each group of near duplicates only those of its least doc_id. Documents that join nothing stay, null ids too; rows that repeat a kept id all stay."""
+    lose = near_duplicate_groups(docs, n, threshold, sample, skip).where("doc_id <> keeper").select(F.col("doc_id").alias("_lost"))
+    plain = docs.toDF(*[f"_{k}" for k in range(len(docs.columns))])
+    return plain.join(lose, plain[f"_{docs.columns.index('doc_id')}"] == lose["_lost"], "left_anti").toDF(*docs.columns)
 
 
 def _sql(n: int = N, threshold: float = THRESHOLD) -> str:
