@@ -9,6 +9,7 @@ from ..functions import intent as I
 from ..functions import text as T
 from ..operators import assemble as A
 from ..operators import graph as G
+from ..operators import render as N
 from . import graph_queries as GQ
 from . import lexical_queries as LQ
 from . import relations as R
@@ -116,9 +117,16 @@ def assemble_context_fused(spark, sf: str) -> DataFrame:
     return A.assemble(i.hits, i.edges, i.chunks, i.questions, vector_hits=b, avg_idf=LQ.avg_idf(spark, sf), centrality=rank).select("query_id", "place", "chunk_id", "file_path", F.round("final", 6).alias("final"), "used")
 
 
+def render_bundles(spark, sf: str) -> DataFrame:
+    """Each question's hits under the budget, as Markdown and XML."""
+    i = _Inputs(spark, sf)
+    packed = greedy_pack(spark, sf).join(i.hits.select("query_id", "chunk_id", F.col("score").alias("final")), ["query_id", "chunk_id"])
+    return N.bundles(packed, i.chunks).select("query_id", N.as_markdown(F.col("items")).alias("markdown"), N.as_xml(F.col("items")).alias("xml"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (dynamic_budget, passthrough, max_normalized, seed_scores, expansion_1hop, expansion_2hop, neighbor_boost, final_score, module_cohesion, adaptive_file_cap, file_cut, greedy_pack, assemble_context, assemble_context_fused)
+    for f in (render_bundles, dynamic_budget, passthrough, max_normalized, seed_scores, expansion_1hop, expansion_2hop, neighbor_boost, final_score, module_cohesion, adaptive_file_cap, file_cut, greedy_pack, assemble_context, assemble_context_fused)
 }
 
 _TEST = "(starts_with(lower(file_path), 'test') or contains(lower(file_path), '/test'))"
@@ -173,6 +181,12 @@ p as (select query_id, 0::bigint as i, 0::bigint as used, false as fits, null::b
 packed as (select query_id, chunk_id, row_number() over (partition by query_id order by i) as place, used from p where fits)"""
 
 
+def _esc(x: str) -> str:
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        x = f"replace({x}, '{a}', '{b}')"
+    return x
+
+
 _REC = lambda s: s.replace("with ", "with recursive ", 1)
 SQL = {
     "dynamic_budget": f"""with t as (select source, sum(floor(len({R.blanks("text")}) * 1.3::double)::bigint)::bigint as total from documents group by 1),
@@ -191,5 +205,7 @@ select query_id, file_path, round(count(*) over (partition by query_id, module)
     "adaptive_file_cap": HITS + ", sl as (select query_id, list_sort(list(seed), 'desc') as l from seeds group by 1) select query_id, (case when len(l) < 3 then least(8, len(l)) when l[len(l) // 2 + 1] <= 0 then 8 when l[1] / l[len(l) // 2 + 1] > 3 then 5 when l[1] / l[len(l) // 2 + 1] > 2 then 6 else 8 end)::int as cap from sl",
     "file_cut": HITS + _SCORED + "select query_id, chunk_id, round(final, 6) as final from cut",
     "greedy_pack": _REC(HITS) + "," + _packed("select query_id, chunk_id, score as final, token_count from hits join chunks using (chunk_id)") + " select query_id, chunk_id, place, used from packed",
+    "render_bundles": _REC(HITS) + "," + _packed("select query_id, chunk_id, score as final, token_count from hits join chunks using (chunk_id)") + f""" select query_id, string_agg('## ' || file_path || chr(10) || chr(10) || '```' || chr(10) || content || chr(10) || '```', chr(10) || chr(10) order by place) as markdown,
+'<context>' || string_agg('<chunk file="' || {_esc("file_path")} || '">' || {_esc("content")} || '</chunk>', '' order by place) || '</context>' as xml from packed join chunks using (chunk_id) group by 1""",
     "assemble_context": _REC(HITS) + _SCORED + "," + _packed("select * from cut") + " select query_id, place, chunk_id, file_path, round(final, 6) as final, used from packed join (select query_id, chunk_id, file_path, final from scored) using (query_id, chunk_id)",
 }
