@@ -56,7 +56,7 @@ def _entropy(s: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in (s.count(x) for x in set(s)))
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=1 << 14)  # some 15 MB in each worker, which outlives its tasks
 def features(span: str, left: str, right: str, before: str) -> tuple[str, ...]:
     """Names of the features of one whole span, between the characters left and right, after the text before."""
     digits = re.sub(r"\D", "", span)
@@ -447,6 +447,8 @@ def redact_documents(docs: DataFrame, model: Model | None = None, text: str = "t
             cols = list(batch.columns)
             cols[at], _ = _redacted(model, cols[at])
             yield pa.RecordBatch.from_arrays(cols, schema=batch.schema)
+            del cols
+            pa.default_memory_pool().release_unused()
 
     plain = docs.toDF(*[f"_{k}" for k in range(len(docs.columns))])
     inner = T.StructType([T.StructField(f"_{k}", f.dataType, True) for k, f in enumerate(schema.fields)])
