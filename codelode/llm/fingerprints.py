@@ -1,7 +1,7 @@
 """Operator 4: document fingerprints by content-defined chunking.
 
-A gear hash rolls over the bytes of a text: H(i) = 2 H(i - 1) + G[byte i] modulo 2^64, so it depends on the last 64 bytes
-alone. A chunk ends where the hash's leading bits are zero: more bits are asked for before the normal size than after
+A gear hash rolls over the bytes of a text: H(i) = 2 H(i - 1) + G[byte i] modulo 2^64, where only G's upper 16 bits are
+set, so it depends on the last 16 bytes alone. A chunk ends where the hash's leading bits are zero: more bits are asked for before the normal size than after
 it, which draws chunk sizes together. Boundaries move with the content, so an insertion changes the chunks that it
 touches and no others. A document's fingerprint is the set of its chunks' digests, each weighing its length in bytes;
 containment of one document in another is the weight of the digests that both have over the weight of its own.
@@ -21,18 +21,19 @@ from pyspark.sql import functions as F
 from .common import materialize, pick
 from .textops import buffers, lists, mix64, slices
 
-#: Bytes. Chunks other than a text's last are of LEAST to MOST bytes.
-LEAST, NORMAL, MOST = 64, 256, 1024
+#: Bytes. Chunks other than a text's last are of LEAST to MOST bytes: a passage of 50 words holds several.
+LEAST, NORMAL, MOST = 16, 48, 128
 #: Leading zero bits asked for before and after the normal size.
-STRICT, LOOSE = 10, 6
+STRICT, LOOSE = 6, 4
 
-GEAR = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+#: Only the upper 16 bits are set, so a byte is shifted out after 16 more and cuts fall in step soon after a passage begins.
+GEAR = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48) << np.uint64(48)
 
 
 def gear(t: np.ndarray) -> np.ndarray:
-    """The rolling hash after each byte, from 64 bytes on; by doubling the stretch that is summed."""
+    """The rolling hash after each byte, from 16 bytes on; by doubling the stretch that is summed."""
     x = GEAR[t]
-    for s in (1, 2, 4, 8, 16, 32):
+    for s in (1, 2, 4, 8):
         if len(x) > s:
             x[s:] = x[s:] + (x[:-s] << np.uint64(s))
     return x
@@ -66,7 +67,7 @@ def _chunker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, j in slices(offs):
             base = int(offs[i])
             raw = b[base : int(offs[j])].tobytes()
-            # the first 63 bytes of a text, whose hash has bytes of another text in it, are never looked at: LEAST is 64
+            # the first 15 bytes of a text, whose hash has bytes of another text in it, are never looked at: LEAST is 16
             h = gear(b[base : int(offs[j])])
             loose = np.flatnonzero(h >> (top - np.uint64(LOOSE)) == 0)
             strict = loose[h[loose] >> (top - np.uint64(STRICT)) == 0]

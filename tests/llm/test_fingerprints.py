@@ -73,3 +73,16 @@ def test_report_against_brute_force(spark, tiny):
             assert abs(got[i].origin_containment - exact) < 2e-6
         else:
             assert got[i].origin is None and got[i].origin_containment is None
+
+
+def test_passages_of_fifty_words_are_found(spark):
+    rng = np.random.default_rng(3)
+    some = lambda n: " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 9))) for _ in range(n))
+    docs, pairs = [], []
+    for k in range(40):
+        passage = some(50)
+        docs += [(2 * k, f"{some(150)} {passage} {some(170)}"), (2 * k + 1, f"{some(90)} {passage} {some(60)}")]
+        pairs.append((2 * k, 2 * k + 1))
+    prints = P.fingerprints(spark.createDataFrame(docs, "doc_id long, text string"))
+    found = P.containment(prints, spark.createDataFrame(pairs, "doc_a long, doc_b long")).where("shared > 0").count()
+    assert found == 40
