@@ -1,7 +1,8 @@
 """Operator 9: language-model scores by a hidden Markov model over words.
 
 Symbols are the VOCABULARY most frequent words of the corpus, counted over all documents, and OTHERS classes (by hash)
-for the rest. The model is trained by ROUNDS of Baum-Welch over every word of every document: each partition runs the
+for the rest; within its class a word of the rest has the share of its own count over all documents, from a distributed
+table. What states say of such words is still learned by class. The model is trained by ROUNDS of Baum-Welch over every word of every document: each partition runs the
 scaled forward and backward recursions over its texts, in stretches of SEGMENT words, and returns expected counts by
 blocks of symbols; these are added up across partitions, and the sums make the next model. Scoring is the scaled forward
 recursion over each whole document, from its first word to its last, so the likelihood of the sequence is exact.
@@ -14,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -79,15 +81,20 @@ def symbols(h: np.ndarray, vocabulary: np.ndarray, others: int = OTHERS) -> np.n
 
 def _to_symbols(vocabulary: np.ndarray, others: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 33
         for batch in batches:
             b, offs = buffers(batch.column(1))
             null = batch.column(1).is_null().to_numpy(zero_copy_only=False)
             for i, j in slices(offs):
                 h, _, _, first = words(b, offs[i : j + 1])
-                syms = lists(symbols(h, vocabulary, others), first, pa.int32())
+                which = symbols(h, vocabulary, others)
+                syms = lists(which, first, pa.int32())
+                rare = which >= len(vocabulary)
+                tail = lists(h[rare].view(np.int64), np.concatenate([[0], np.cumsum(rare)])[first], pa.int64())
                 if null[i:j].any():
                     syms = pa.array([None if x else y for x, y in zip(null[i:j], syms.to_pylist())], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), syms], names=["doc_id", "symbols"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + j - i)), batch.column(0).slice(i, j - i), syms, tail], names=["row", "doc_id", "symbols", "tail"])
+                row += j - i
 
     return run
 
@@ -227,7 +234,25 @@ def maximize(m: Model, starts: np.ndarray, moves: np.ndarray, emissions: np.ndar
 
 
 def train(docs: DataFrame, states: int = STATES, vocabulary: int = VOCABULARY, rounds: int = ROUNDS, segment: int = SEGMENT, others: int = OTHERS) -> tuple[Model, DataFrame, list[float]]:
-    """The model, the documents as symbols, and the log likelihood before each round."""
+    """The model, the documents as symbols, and the log likelihood before each round. Words within their class are left out of both."""
+    return _train(docs, states, vocabulary, rounds, segment, others)[:3]
+
+
+def _shares(counted: DataFrame, top: pa.Table, others: int) -> DataFrame:
+    """(word, share) of the words that are not in the vocabulary: the logarithm of a word's part in its class."""
+    rest = counted
+    if top.num_rows:
+        n, word = top["n"][-1].as_py(), top["word"][-1].as_py()
+        rest = counted.where((F.col("n") < n) | ((F.col("n") == n) & (F.col("word") > word)))
+    # as an unsigned number
+    of = F.pmod(F.pmod("word", F.lit(others)) + F.when(F.col("word") < 0, F.lit((1 << 64) % others)).otherwise(F.lit(0)), F.lit(others))
+    rest = rest.select("word", "n", of.alias("class"))
+    whole = F.broadcast(rest.groupBy("class").agg(F.sum("n").alias("whole")))  # at most `others` rows
+    return rest.join(whole, "class").select("word", F.log(F.col("n") / F.col("whole")).alias("share"))
+
+
+def _train(docs: DataFrame, states: int = STATES, vocabulary: int = VOCABULARY, rounds: int = ROUNDS, segment: int = SEGMENT, others: int = OTHERS) -> tuple[Model, DataFrame, list[float], DataFrame]:
+    """As train(), and the shares of the words that are not in the vocabulary."""
     spark = docs.sparkSession
     d = pick(docs, doc_id="long", text="string")
     counted = materialize(d.where("text is not null").select("text").mapInArrow(_count_words, "word long, n long, size long").groupBy("word").agg(F.sum("n").alias("n"), F.max("size").alias("size")), "words")
@@ -237,7 +262,7 @@ def train(docs: DataFrame, states: int = STATES, vocabulary: int = VOCABULARY, r
     o = np.argsort(w)
     counts, sizes = top["n"].to_numpy()[o], top["size"].to_numpy()[o]
     model = first_model(w[o], counts, sizes, float(total - counts.sum()), states, others)
-    rows = materialize(d.mapInArrow(_to_symbols(model.vocabulary, others), "doc_id long, symbols array<int>"), "symbols")
+    rows = materialize(d.mapInArrow(_to_symbols(model.vocabulary, others), "row long, doc_id long, symbols array<int>, tail array<long>"), "symbols")
     heard = []
     for _ in range(rounds):
         sent = spark.sparkContext.broadcast(model)  # of fixed size: vocabulary x states
@@ -251,26 +276,31 @@ def train(docs: DataFrame, states: int = STATES, vocabulary: int = VOCABULARY, r
         heard.append(float(head[-1]))
         emissions = np.concatenate([got[b] for b in sorted(got)]).reshape(-1, k)
         model = maximize(model, head[:k], head[k : k + k * k].reshape(k, k), emissions)
-    return model, rows, heard
+    return model, rows, heard, _shares(counted, top, others)
 
 
-_OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("log_likelihood", pa.float64()), ("perplexity", pa.float64())])
+_OUT = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("log_likelihood", pa.float64())])
 
 
-def score_symbols(rows: DataFrame, model: Model) -> DataFrame:
+def score_symbols(rows: DataFrame, model: Model, shares: DataFrame | None = None) -> DataFrame:
+    """Scores of the symbols; with shares, of the words themselves."""
     sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = sent.value
         for batch in batches:
-            valid = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
-            for i, j, flat, first in _batches(batch.column(1)):
+            valid = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
+            for i, j, flat, first in _batches(batch.column(2)):
                 ll, n, ok = log_likelihoods(m, flat, first), np.diff(first), valid[i:j]
-                some = ok & (n > 0)
-                ppl = np.exp(-ll / np.maximum(n, 1))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n, mask=~ok), pa.array(np.round(ll, 4), mask=~ok), pa.array(np.round(ppl, 4), mask=~some)], schema=_OUT)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(n, mask=~ok), pa.array(ll, mask=~ok)], schema=_OUT)
 
-    return rows.mapInArrow(run, "doc_id long, n_words long, log_likelihood double, perplexity double")
+    out = rows.select("row", "doc_id", "symbols").mapInArrow(run, "row long, doc_id long, n_words long, log_likelihood double")
+    ll = F.col("log_likelihood")
+    if shares is not None:
+        words = rows.select("row", F.explode("tail").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times"))
+        out = out.join(words.join(shares, "word").groupBy("row").agg(F.sum(F.col("times") * F.col("share")).alias("inside")), "row", "left")
+        ll = ll + F.coalesce("inside", F.lit(0.0))
+    return out.select("doc_id", "n_words", F.round(ll, 4).alias("log_likelihood"), F.when(F.col("n_words") > 0, F.round(F.exp(-ll / F.col("n_words")), 4)).alias("perplexity"))
 
 
 def score_documents(docs: DataFrame, **how) -> DataFrame:
@@ -279,8 +309,8 @@ def score_documents(docs: DataFrame, **how) -> DataFrame:
     A null text has nulls; a text without words 0 words, likelihood 0 and a null perplexity. Null ids stay null,
     repeated rows count and are scored as often as they occur, other columns are ignored; an empty table gives no rows.
     """
-    model, rows, _ = train(docs, **how)
-    return score_symbols(rows, model)
+    model, rows, _, shares = _train(docs, **how)
+    return score_symbols(rows, model, shares)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

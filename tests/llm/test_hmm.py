@@ -60,3 +60,10 @@ def test_counts_do_not_depend_on_the_partitions(spark, tiny):
     docs = spark.read.parquet(f"{tiny}/documents.parquet")
     a, b = (H.train(docs.repartition(n), rounds=1)[2][0] for n in (1, 7))
     assert abs(a - b) < 1e-5 * abs(a)
+
+
+def test_probabilities_of_all_words_add_up_to_one(spark):
+    words = [(k, f"w{k}") for k in range(40)]
+    docs = spark.createDataFrame(words + [(100 + k, " ".join([f"w{k % 40}"] * (1 + k % 3))) for k in range(90)], "doc_id long, text string")
+    got = {r.doc_id: r.log_likelihood for r in H.score_documents(docs, vocabulary=6, others=3, rounds=1).collect()}
+    assert abs(sum(np.exp(got[k]) for k, _ in words) - 1) < 1e-3
