@@ -1,4 +1,4 @@
-"""Operator 2: all pairs of documents whose word n-gram sets have a Jaccard similarity of at least a threshold.
+"""Operator 2: documents whose word n-gram sets have a Jaccard similarity of at least a threshold, as classes and numbers of links.
 
 Method: a token-group matrix. Documents of equal n-gram sets collapse to one representative. Representatives are
 partitioned into groups by the least hash of their n-grams (a min-hash, so similar documents tend to share a group).
@@ -8,8 +8,11 @@ documents are sampled alike up to the lesser bound). A query is every representa
 member of a group, more than SKIP of its tokens are in the group's union, so at least one is among the rest after its
 SKIP most frequent ones, for both sides alike: only those tokens are looked up. Groups whose overlap reaches
 the bound are opened and every member is compared on the whole n-gram sets, so reported similarities are exact. Only
-sampling can lose a pair: for documents of at most SAMPLE n-grams nothing is lost; beyond, the overlap of a pair at the
-very threshold falls under the bound in under 5 % of the worst cases, and recall over all pairs is above 0.99.
+sampling can lose a pair: for documents of at most SAMPLE n-grams nothing is lost; of two longer ones at the very
+threshold, one of them within the other, the bound is missed with a chance of about 0.2 %, and pairs of like lengths practically never.
+
+Groups of more than GROUP documents are divided, and groups that many queries open are compared in parts, so no task
+holds more than GROUP n-gram sets. Comparing a cluster of m different texts still takes m^2 comparisons.
 """
 
 from __future__ import annotations
@@ -26,9 +29,11 @@ from .textops import buffers, gram_sets, lists, slices, words
 
 N = 3
 THRESHOLD = 0.6
-SAMPLE = 64
+SAMPLE = 96
 #: Share of a query's tokens that a group's union must exceed; below the threshold, for the noise of sampling.
-SKIP = 0.5
+SKIP = 0.45
+#: Members of a group; a larger one is divided by hash of the id.
+GROUP = 2048
 
 _SKETCH = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64()), ("grp", pa.int64()), ("sample", pa.list_(pa.int64()))])
 
@@ -63,106 +68,153 @@ def _sketcher(n: int, sample: int):
     return run
 
 
-def _overlaps(q: list[np.ndarray], m: list[np.ndarray]) -> np.ndarray:
-    """len(q) x len(m) sizes of intersections."""
-    flat = np.concatenate(m)
-    who = np.repeat(np.arange(len(m)), [len(x) for x in m])
-    o = np.argsort(flat, kind="stable")
-    flat, who = flat[o], who[o]
-    out = np.empty((len(q), len(m)), np.int64)
-    for k, x in enumerate(q):
-        lo, hi = np.searchsorted(flat, x, "left"), np.searchsorted(flat, x, "right")
+class _Members:
+    """A group's members: their n-gram sets as one sorted array of (n-gram, member)."""
+
+    def __init__(self, ids: list[int], copies: list[int], sets: list[np.ndarray]):
+        self.ids, self.copies, self.sets = np.array(ids, np.int64), np.array(copies, np.int64), sets
+        self.size = np.array([len(x) for x in sets], np.int64)
+        flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
+        who = np.repeat(np.arange(len(sets)), self.size)
+        o = np.argsort(flat, kind="stable")
+        self.flat, self.who = flat[o], who[o]
+
+    def overlaps(self, x: np.ndarray) -> np.ndarray:
+        lo, hi = np.searchsorted(self.flat, x, "left"), np.searchsorted(self.flat, x, "right")
         n = hi - lo
         at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        out[k] = np.bincount(who[at], minlength=len(m))
-    return out
+        return np.bincount(self.who[at], minlength=len(self.ids))
+
+    def similar(self, x: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """Members that reach the threshold, and their similarities."""
+        common = self.overlaps(x)
+        j = common / (len(x) + self.size - common)
+        k = np.flatnonzero(j >= threshold)
+        return k, j[k]
+
 
+class _Forest:
+    """Which edges connect what was not connected yet."""
 
-def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Indexes of edges that connect what all the edges connect."""
-    root: dict[int, int] = {}
+    def __init__(self):
+        self.root: dict[int, int] = {}
 
-    def find(x: int) -> int:
+    def find(self, x: int) -> int:
+        root = self.root
         while root.setdefault(x, x) != x:
             root[x] = root[root[x]]
             x = root[x]
         return x
 
-    keep = []
-    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
-        rx, ry = find(x), find(y)
+    def joins(self, x: int, y: int) -> bool:
+        rx, ry = self.find(x), self.find(y)
         if rx != ry:
-            root[max(rx, ry)] = min(rx, ry)
-            keep.append(k)
-    return np.array(keep, np.int64)
-
-
-_PAIRS = pa.schema([("doc_a", pa.int64()), ("doc_b", pa.int64()), ("jaccard", pa.float64())])
-
-
-def _opener(n: int, threshold: float, forest: bool):
-    """Compares, within each (grp, part), all queries and members with the members; rows come sorted by them."""
-
-    def pairs(ids: np.ndarray, own: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        size = np.array([len(x) for x in sets])
-        members = np.flatnonzero(own)
-        got = []
-        # blocks of queries bound the memory that a large group takes
-        step = max(1, 4_000_000 // max(1, len(members)))
-        if len(members):
-            for lo in range(0, len(ids), step):
-                block = np.arange(lo, min(len(ids), lo + step))
-                common = _overlaps([sets[k] for k in block], [sets[k] for k in members])
-                j = common / (size[block][:, None] + size[members][None, :] - common)
-                x, y = np.nonzero(j >= threshold)
-                a, b = block[x], members[y]
-                # a query from elsewhere against each member; members among themselves once
-                ok = (ids[a] != ids[b]) & (~own[a] | (ids[a] < ids[b]))
-                got.append((ids[a][ok], ids[b][ok], j[x, y][ok]))
-        if not got:
-            z = np.zeros(0, np.int64)
-            return z, z, z.astype(float)
-        a, b, j = (np.concatenate(x) for x in zip(*got))
-        return np.minimum(a, b), np.maximum(a, b), j
+            self.root[max(rx, ry)] = min(rx, ry)
+        return rx != ry
+
+
+_LINKS = pa.schema([("doc_a", pa.int64()), ("doc_b", pa.int64()), ("value", pa.float64())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_key, ids, own, sets = None, [], [], []
 
-        def close() -> Iterator[pa.RecordBatch]:
-            if len(ids) > 1:
-                a, b, j = pairs(np.array(ids), np.array(own), sets)
-                if forest and len(a):
-                    keep = _forest(a, b)
-                    a, b, j = a[keep], b[keep], j[keep]
-                for k in range(0, len(a), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 100_000]) for x in (a, b, j)], schema=_PAIRS)
+def _opener(n: int, threshold: float, classes: bool):
+    """Compares, within each (grp, part), its queries with the group's members, and in part 0 the members among themselves.
+
+    Rows come sorted by group and part, members first; they are at most GROUP, and queries pass by one at a time. Rows out are the pairs with their
+    similarity; or, for classes, edges that connect what the pairs connect (value null), and numbers of links by document (doc_b null).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, group, forest = None, ([], [], []), None, None
+        links: np.ndarray | None = None
+        out: list[tuple] = []
+
+        def compare(doc: int, copies: int, x: np.ndarray, among: int | None = None) -> None:
+            k, j = group.similar(x, threshold)
+            if among is not None:
+                k, j = k[k > among], j[k > among]
+            else:
+                k, j = k[group.ids[k] != doc], j[group.ids[k] != doc]
+            if not len(k):
+                return
+            if not classes:
+                out.extend((min(doc, m), max(doc, m), v) for m, v in zip(group.ids[k].tolist(), j.tolist()))
+                return
+            links[k] += copies
+            total = int(group.copies[k].sum())
+            if among is None:
+                out.append((doc, None, float(total)))
+            else:
+                links[among] += total
+            out.extend((doc, m, None) for m in group.ids[k].tolist() if forest.joins(doc, m))
+
+        def begin() -> None:
+            """All members are here: those of part 0 meet each other."""
+            nonlocal group, links, forest
+            group, links, forest = _Members(*held), np.zeros(len(held[0]), np.int64), _Forest()
+            if key[1] == 0:
+                for i in range(len(group.ids)):
+                    compare(int(group.ids[i]), int(group.copies[i]), group.sets[i], i)
+
+        def end() -> None:
+            nonlocal group
+            if key is not None and group is None:
+                begin()
+            if group is not None and classes:
+                out.extend((int(group.ids[i]), None, float(links[i])) for i in np.flatnonzero(links).tolist())
+            group = None
+
+        def flush() -> pa.RecordBatch:
+            cols = [pa.array(c, f.type) for c, f in zip(zip(*out), _LINKS)]
+            out.clear()
+            return pa.RecordBatch.from_arrays(cols, schema=_LINKS)
 
         for batch in batches:
-            grp, part, doc, member = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
-            b, offs = buffers(batch.column(4))
+            grp, part, doc, copies, member = (batch.column(k).to_numpy(zero_copy_only=False).tolist() for k in range(5))
+            b, offs = buffers(batch.column(5))
             for i, j in slices(offs):
                 h, _, _, first = words(b, offs[i : j + 1])
                 v, at = gram_sets(h, first, n)
                 for r in range(j - i):
-                    key = (grp[i + r], part[i + r])
-                    if key != open_key:
-                        yield from close()
-                        open_key, ids, own, sets = key, [], [], []
-                    ids.append(doc[i + r])
-                    own.append(bool(member[i + r]))
-                    sets.append(v[at[r] : at[r + 1]].copy())
-        yield from close()
+                    if (grp[i + r], part[i + r]) != key:
+                        end()
+                        key, held = (grp[i + r], part[i + r]), ([], [], [])
+                    x = v[at[r] : at[r + 1]]
+                    if member[i + r]:
+                        # a repeated row of an id counts once
+                        if not held[0] or held[0][-1] != doc[i + r]:
+                            for into, y in zip(held, (doc[i + r], copies[i + r], x.copy())):
+                                into.append(y)
+                    else:
+                        if group is None:
+                            begin()
+                            last = None
+                        if doc[i + r] != last:
+                            last = doc[i + r]
+                            compare(last, copies[i + r], x)
+                    if len(out) > 100_000:
+                        yield flush()
+        end()
+        if out:
+            yield flush()
 
     return run
 
 
-def _join(docs: DataFrame, n: int, threshold: float, sample: int, skip: float, forest: bool) -> DataFrame:
-    docs = pick(docs, doc_id="long", text="string").where("doc_id is not null and text is not null")
+def _representatives(docs: DataFrame, n: int, sample: int, group: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, rep) of all documents with words; and the representatives as (doc_id, copies, grp, sample), groups of at most about `group`."""
     sketch = materialize(docs.mapInArrow(_sketcher(n, sample), "doc_id long, n int, d1 long, d2 long, grp long, sample array<long>"), "sketch")
     digest = ["d1", "d2", "n"]
-    reps = materialize(sketch.groupBy(*digest).agg(F.min(F.struct("doc_id", "grp", "sample")).alias("x")).select(*digest, "x.*"), "reps")
-    copies = sketch.select("doc_id", *digest).join(reps.select(F.col("doc_id").alias("rep"), *digest), digest).where("doc_id <> rep").select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard")).distinct()
+    reps = sketch.groupBy(*digest).agg(F.min(F.struct("doc_id", "grp", "sample")).alias("x"), F.count_distinct("doc_id").alias("copies")).select(*digest, "x.*", "copies")
+    reps = materialize(reps, "reps")
+    # any division into groups is right, so a hot one is divided further
+    hot = reps.groupBy("grp").agg(F.count("*").alias("c")).where(F.col("c") > group)
+    cut = reps.join(hot, "grp", "left").withColumn("grp", F.when(F.col("c").isNull(), F.col("grp")).otherwise(F.xxhash64("grp", F.expr(f"pmod(xxhash64(doc_id), cast(ceil(c / {group}) as bigint))")))).drop("c")
+    of = sketch.select("doc_id", *digest).join(reps.select(F.col("doc_id").alias("rep"), *digest), digest).select("doc_id", "rep").distinct()
+    return of, cut
+
 
+def _compared(docs: DataFrame, reps: DataFrame, n: int, threshold: float, skip: float, group: int, classes: bool) -> DataFrame:
+    """(doc_a, doc_b, value) as _opener() gives it, of the representatives."""
     # the matrix: which tokens occur in several groups, and how often a token occurs
     tokens = reps.select("doc_id", "grp", F.size("sample").alias("k"), F.explode("sample").alias("token"))
     spread = tokens.groupBy("token").agg(F.count("*").alias("df"), F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi").select("token", "df")
@@ -179,16 +231,23 @@ def _join(docs: DataFrame, n: int, threshold: float, sample: int, skip: float, f
     hits = found.join(shared.select("doc_id", "token", "k"), "doc_id").join(union, ["g", "token"]).groupBy("doc_id", "g").agg(F.count("*").alias("hits"), F.first("k").alias("k"))
     opened = materialize(hits.where(F.col("hits") > F.floor(F.lit(skip) * F.col("k"))).select("doc_id", F.col("g").alias("grp")), "opened")
 
-    busy = reps.groupBy("grp").agg(F.count("*").alias("c")).where("c > 1").select("grp").union(opened.select("grp")).distinct()
-    roles = reps.select("doc_id", "grp").join(busy, "grp", "left_semi").select("doc_id", "grp", F.lit(True).alias("member")).union(opened.select("doc_id", "grp", F.lit(False).alias("member")))
+    # a group that many queries open is compared in parts, each with all its members
+    parts = opened.groupBy("grp").agg(F.ceil(F.count("*") / (4 * group)).cast("int").alias("parts"))
+    busy = reps.groupBy("grp").agg(F.count("*").alias("c")).join(parts, "grp", "left").where("c > 1 or parts is not null").select("grp", F.coalesce("parts", F.lit(1)).alias("parts"))
+    of = reps.select("doc_id", "copies", "grp")
+    members = of.join(busy, "grp").select("doc_id", "copies", "grp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("member"))
+    queries = opened.join(of.select("doc_id", "copies"), "doc_id").join(parts, "grp").select("doc_id", "copies", "grp", F.expr("cast(pmod(xxhash64(doc_id, 7), parts) as int)").alias("part"), F.lit(False).alias("member"))
     # a document's texts are equal in n-grams if its id repeats: any one of them serves as the representative's
-    texts = docs.join(roles, "doc_id").select("grp", F.lit(0).alias("part"), "doc_id", "member", "text")
-    sets = texts.repartition("grp").sortWithinPartitions("grp", "doc_id")
-    pairs = sets.mapInArrow(_opener(n, threshold, forest), "doc_a long, doc_b long, jaccard double")
-    return pairs.unionByName(copies)
+    texts = docs.join(members.unionByName(queries), "doc_id").select("grp", "part", "doc_id", "copies", "member", "text")
+    sets = texts.repartition("grp", "part").sortWithinPartitions("grp", "part", F.col("member").desc(), "doc_id")
+    return sets.mapInArrow(_opener(n, threshold, classes), "doc_a long, doc_b long, value double")
+
+
+def _read(docs: DataFrame) -> DataFrame:
+    return pick(docs, doc_id="long", text="string").where("doc_id is not null and text is not null")
 
 
-def ngram_jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, sample: int = SAMPLE, skip: float = SKIP) -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, sample: int = SAMPLE, skip: float = SKIP, group: int = GROUP) -> DataFrame:
     """(doc_a, doc_b, jaccard) with doc_a < doc_b.
 
     Documents of equal n-gram sets: their least id is the representative, and each other one has one row with it, of
@@ -196,14 +255,34 @@ def ngram_jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD
     their copies follow from these rows. A text of fewer than n words, but some, has all its words as its one n-gram.
     Nulls in doc_id or text, and texts without words, join nothing; an empty table gives no rows. Rows that repeat
     a doc_id with the same text count once; ids are expected to be unique otherwise. Other columns are ignored.
+    Rows are as many as the pairs: near_duplicate_classes() tells as much of each document in one row.
+    """
+    docs = _read(docs)
+    of, reps = _representatives(docs, n, sample, group)
+    copies = of.where("doc_id <> rep").select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
+    return _compared(docs, reps, n, threshold, skip, group, classes=False).withColumnRenamed("value", "jaccard").unionByName(copies)
+
+
+def near_duplicate_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, sample: int = SAMPLE, skip: float = SKIP, group: int = GROUP) -> DataFrame:
+    """(doc_id, class_id, links), one row for each document with words.
+
+    links is the number of other documents, copies among them, that reach the threshold; classes are what links
+    connect, named by their least doc_id. Nulls, texts without words and repeated rows are as in ngram_jaccard_join().
     """
-    return _join(docs, n, threshold, sample, skip, forest=False)
+    docs = _read(docs)
+    of, reps = _representatives(docs, n, sample, group)
+    of, reps = materialize(of, "copies"), materialize(reps, "groups")
+    got = materialize(_compared(docs, reps, n, threshold, skip, group, classes=True), "compared")
+    near = got.where("doc_b is null").groupBy(F.col("doc_a").alias("rep")).agg(F.sum("value").cast("long").alias("near"))
+    root = components(got.where("doc_b is not null").select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))).select(F.col("node").alias("rep"), "root")
+    # of a class, the least representative is its least document
+    out = of.join(reps.select(F.col("doc_id").alias("rep"), "copies"), "rep").join(near, "rep", "left").join(root, "rep", "left")
+    return out.select("doc_id", F.coalesce("root", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("links"))
 
 
 def near_duplicate_groups(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, sample: int = SAMPLE, skip: float = SKIP) -> DataFrame:
     """(doc_id, keeper): connected groups of the join's pairs, each with its least doc_id; ungrouped documents are absent."""
-    edges = _join(docs, n, threshold, sample, skip, forest=True).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
-    return components(edges).select(F.col("node").alias("doc_id"), F.col("root").alias("keeper"))
+    return near_duplicate_classes(docs, n, threshold, sample, skip).where("links > 0").select("doc_id", F.col("class_id").alias("keeper"))
 
 
 def drop_near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, sample: int = SAMPLE, skip: float = SKIP) -> DataFrame:
@@ -216,14 +295,19 @@ def drop_near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHO
 def _sql(n: int = N, threshold: float = THRESHOLD) -> str:
     gram = " || ' ' || ".join(f"w[i + {k}]" for k in range(n))
     return f"""
-with w as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '(?:[0-9a-z]|[^\\x00-\\x7F])+') as w from documents where text is not null and doc_id is not null),
-s as (select doc_id, case when len(w) < {n} then [array_to_string(w, ' ')] else list_sort(list_distinct(list_transform(range(1, len(w) - {n - 2}), lambda i: {gram}))) end as s from w where len(w) > 0),
-r as (select min(doc_id) as doc_id, s from s group by s),
-t as (select doc_id, len(s) as n, unnest(s) as g from r),
-c as (select a.doc_id as doc_a, b.doc_id as doc_b, count(*) as c, any_value(a.n) as na, any_value(b.n) as nb from t a join t b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2)
-select doc_a, doc_b, round(c / (na + nb - c), 9) as jaccard from c where c / (na + nb - c) >= {threshold}
-union all
-select r.doc_id, s.doc_id, 1.0::double from s join r on s.s = r.s where s.doc_id <> r.doc_id
+with recursive w as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '(?:[0-9a-z]|[^\\x00-\\x7F])+') as w from documents where text is not null and doc_id is not null),
+s as materialized (select distinct doc_id, case when len(w) < {n} then [array_to_string(w, ' ')] else list_sort(list_distinct(list_transform(range(1, len(w) - {n - 2}), lambda i: {gram}))) end as s from w where len(w) > 0),
+r as materialized (select min(doc_id) as rep, count(*) as copies, s from s group by s),
+t as (select rep, len(s) as n, unnest(s) as g from r),
+c as (select a.rep as a, b.rep as b, count(*) as c, any_value(a.n) as na, any_value(b.n) as nb from t a join t b on a.g = b.g and a.rep < b.rep group by 1, 2),
+p as materialized (select a, b from c where c / (na + nb - c) >= {threshold}),
+e as materialized (select a, b from p union all select b, a from p),
+l as (select a as rep, sum(copies) as near from e join r on r.rep = e.b group by 1),
+-- the least representative that can be reached
+f(rep, root) as (select rep, rep from r union select e.b, f.root from f join e on e.a = f.rep where f.root < e.b),
+k as (select rep, min(root) as root from f group by 1)
+select doc_id, k.root as class_id, (copies - 1 + coalesce(near, 0))::bigint as links
+from s join r on s.s = r.s join k using (rep) left join l using (rep)
 """
 
 
@@ -231,5 +315,4 @@ ORACLE_SQL = _sql()
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    out = ngram_jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("doc_a", "doc_b", F.round("jaccard", 9).alias("jaccard"))
+    return near_duplicate_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
