@@ -5,6 +5,12 @@ set, so it depends on the last 16 bytes alone. A chunk ends where the hash's lea
 it, which draws chunk sizes together. Boundaries move with the content, so an insertion changes the chunks that it
 touches and no others. A document's fingerprint is the set of its chunks' digests, each weighing its length in bytes;
 containment of one document in another is the weight of the digests that both have over the weight of its own.
+
+The report links all documents of which one is contained in the other by at least THRESHOLD. Documents of equal
+fingerprints are one text. A text that is contained that much shares one of its rarest chunks with its container: leaving out
+its most frequent ones up to less than THRESHOLD of its weight leaves nothing to lose. Texts are partitioned into groups of at most GROUP by the least digest of those chunks;
+a text opens the groups of all that hold one of them, and is compared with their members on the whole sets.
+No task holds more than GROUP sets, and rows out are a few for each text, however many share a chunk. Comparing a cluster of m different texts still takes m^2 comparisons.
 """
 
 from __future__ import annotations
@@ -18,11 +24,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, pick
+from .common import components, materialize, pick
 from .textops import buffers, lists, mix64, slices
 
 #: Bytes. Chunks other than a text's last are of LEAST to MOST bytes: a passage of 50 words holds several.
 LEAST, NORMAL, MOST = 16, 48, 128
+#: Containment from which documents are linked.
+THRESHOLD = 0.5
+#: Members of a group; a larger one is divided by hash of the id.
+GROUP = 4096
 #: Leading zero bits asked for before and after the normal size.
 STRICT, LOOSE = 6, 4
 
@@ -113,25 +123,178 @@ def containment(prints: DataFrame, pairs: DataFrame) -> DataFrame:
     return out.select("doc_a", "doc_b", F.coalesce("shared", F.lit(0)).alias("shared"), F.round(F.coalesce(F.col("shared") / F.col("weight"), F.lit(0.0)), 6).alias("containment"))
 
 
-def fingerprint_report(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, n_chunks, digests, weight, repeated, origin, origin_containment), one row for each doc_id.
+class _Forest:
+    """Which edges connect what was not connected yet."""
+
+    def __init__(self):
+        self.root: dict[int, int] = {}
+
+    def joins(self, x: int, y: int) -> bool:
+        root = self.root
+        for z in (x, y):
+            root.setdefault(z, z)
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        while root[y] != y:
+            root[y] = root[root[y]]
+            y = root[y]
+        if x != y:
+            root[max(x, y)] = min(x, y)
+        return x != y
+
+
+_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64()), ("part", pa.float64())])
+_LINKS_DDL = "a long, b long, links long, part double"
+
+
+def _flat(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
+    c = batch.column(k)
+    o = c.offsets.to_numpy().astype(np.int64)
+    return c.values.to_numpy()[o[0] : o[-1]], o - o[0]
 
-    weight is the length of the distinct chunks; repeated the share of it in chunks that a document of lesser id has
-    too. Every chunk's first holder is the least id that has it; origin is the lesser id that is first holder of most of
-    the document's weight (of equals the least), and origin_containment the whole document's containment in it. Both are
-    null where nothing is repeated. Costs grow with the number of chunks, not of pairs, however many documents share a
-    chunk. Null ids, and all but one row of a repeated id, are left out of the report.
+
+def _opener(threshold: float):
+    """Compares, within each (grp, part), queries with the group's members.
+
+    Rows come sorted by group and part, members first. A pair is looked at from its lighter text (of equal weights the lesser id).
+    Rows out: edges that connect what is linked (links null), and by text its links and the text that contains most of it (b, part).
     """
-    prints = materialize(fingerprints(docs).where("doc_id is not null").dropDuplicates(["doc_id"]), "prints")
-    c = _exploded(prints)
-    holder = c.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    held = c.join(holder, "digest").where("first < doc_id").groupBy("doc_id", "first").agg(F.sum("length").alias("w"))
-    top = held.groupBy("doc_id").agg(F.sum("w").alias("again"), F.max_by("first", F.struct("w", -F.col("first"))).alias("origin"))
-    found = materialize(top, "origins")
-    exact = containment(prints, found.select(F.col("doc_id").alias("doc_a"), F.col("origin").alias("doc_b"))).select(F.col("doc_a").alias("doc_id"), F.col("containment").alias("origin_containment"))
-    weight = F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)
-    out = prints.withColumn("weight", weight).join(found, "doc_id", "left").join(exact, "doc_id", "left")
-    return out.select("doc_id", "n_bytes", "n_chunks", "digests", "weight", F.round(F.coalesce(F.col("again") / F.col("weight"), F.lit(0.0)), 6).alias("repeated"), "origin", "origin_containment")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, group, forest, out = None, [], None, None, []
+        links = best = by = None
+
+        def begin() -> None:
+            nonlocal group, forest, links, best, by
+            ids, copies, weight, digests = zip(*held) if held else ((), (), (), ())
+            flat = np.concatenate(digests) if held else np.zeros(0, np.int64)
+            who = np.repeat(np.arange(len(ids)), [len(x) for x in digests])
+            o = np.argsort(flat, kind="stable")
+            group = np.array(ids, np.int64), np.array(copies, np.int64), np.array(weight, np.int64), flat[o], who[o]
+            forest = _Forest()
+            links, best, by = np.zeros(len(ids), np.int64), np.zeros(len(ids)), np.zeros(len(ids), np.int64)
+
+        def compare(doc: int, copies: int, weight: int, digests: np.ndarray, lengths: np.ndarray) -> None:
+            ids, n, w, flat, who = group
+            lo, hi = np.searchsorted(flat, digests, "left"), np.searchsorted(flat, digests, "right")
+            c = hi - lo
+            at = np.repeat(lo - np.concatenate([[0], np.cumsum(c)[:-1]]), c) + np.arange(c.sum())
+            common = np.bincount(who[at], np.repeat(lengths, c), len(ids))
+            k = np.flatnonzero((common >= threshold * weight) & ((w > weight) | ((w == weight) & (ids > doc))))
+            if not len(k):
+                return
+            mine, theirs = common[k] / weight, common[k] / w[k]
+            m = int(np.lexsort((ids[k], -mine))[0])
+            out.append((doc, int(ids[k][m]), int(n[k].sum()), float(mine[m])))
+            links[k] += copies
+            better = (theirs > best[k]) | ((theirs == best[k]) & (doc < by[k]))
+            best[k[better]], by[k[better]] = theirs[better], doc
+            out.extend((doc, x, None, None) for x in ids[k].tolist() if forest.joins(doc, x))
+
+        def end() -> None:
+            if group is not None:
+                k = np.flatnonzero(links)
+                out.extend(zip(group[0][k].tolist(), by[k].tolist(), links[k].tolist(), best[k].tolist()))
+
+        def flush() -> pa.RecordBatch:
+            cols = [pa.array(c, f.type) for c, f in zip(zip(*out), _LINKS)]
+            out.clear()
+            return pa.RecordBatch.from_arrays(cols, schema=_LINKS)
+
+        for batch in batches:
+            grp, part, doc, copies, member, weight = (batch.column(k).to_numpy(zero_copy_only=False).tolist() for k in range(6))
+            (digests, at), (lengths, _) = _flat(batch, 6), _flat(batch, 7)
+            for r in range(batch.num_rows):
+                if (grp[r], part[r]) != key:
+                    end()
+                    key, held, group = (grp[r], part[r]), [], None
+                x = slice(at[r], at[r + 1])
+                if member[r]:
+                    held.append((doc[r], copies[r], weight[r], digests[x]))
+                    continue
+                if group is None:
+                    begin()
+                compare(doc[r], copies[r], weight[r], digests[x], lengths[x])
+                if len(out) > 100_000:
+                    yield flush()
+        end()
+        if out:
+            yield flush()
+
+    return run
+
+
+def _weight() -> F.Column:
+    return F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+def _linked(texts: DataFrame, threshold: float, group: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b, links, part) as _opener() gives it, and (rep, again): the weight of chunks that other texts have too. texts: rep, copies, weight, digests, lengths."""
+    c = texts.select("rep", "weight", F.explode(F.arrays_zip("digests", "lengths")).alias("c")).select("rep", "weight", F.col("c.digests").alias("digest"), F.col("c.lengths").alias("length"))
+    df = c.groupBy("digest").agg(F.count("*").cast("int").alias("df")).where("df > 1")
+    shared = materialize(c.join(df, "digest"), "shared")
+    # chunks from the most frequent on are left out while they weigh less than the threshold
+    ranked = shared.groupBy("rep").agg(F.first("weight").alias("weight"), F.sum("length").cast("long").alias("again"), F.sort_array(F.collect_list(F.struct("df", "digest", "length")), asc=False).alias("t"))
+    limit = F.col("weight") * threshold
+    state = F.struct(F.lit(0.0).alias("left"), F.slice(F.transform("t", lambda x: x["digest"]), 1, 0).alias("look"))
+    step = F.aggregate("t", state, lambda s, x: F.when(s["left"] + x["length"] < limit, F.struct((s["left"] + x["length"]).cast("double").alias("left"), s["look"].alias("look"))).otherwise(F.struct(F.lit(float("inf")).alias("left"), F.concat(s["look"], F.array(x["digest"])).alias("look"))))
+    ranked = materialize(ranked.select("rep", "weight", "again", step["look"].alias("look"), F.array_min(F.transform("t", lambda x: x["digest"])).alias("least")), "ranked")
+    own = ranked.select("rep", F.coalesce(F.array_min("look"), "least").alias("grp"))
+    # any division into groups is right, so a hot one is divided further
+    hot = own.groupBy("grp").agg(F.count("*").alias("c")).where(F.col("c") > group)
+    own = own.join(hot, "grp", "left").select("rep", F.when(F.col("c").isNull(), F.col("grp")).otherwise(F.xxhash64("grp", F.expr(f"pmod(xxhash64(rep), cast(ceil(c / {group}) as bigint))"))).alias("grp"))
+    own = materialize(own, "groups")
+    look = ranked.select("rep", F.explode("look").alias("digest"))
+    wanted = look.select("digest").distinct()
+    index = shared.join(wanted, "digest", "left_semi").join(own, "rep").select("digest", "grp").distinct()
+    opened = materialize(look.join(index, "digest").select("rep", "grp").distinct(), "opened")
+    # a group that many texts open is compared in parts, each with all its members
+    parts = opened.groupBy("grp").agg(F.ceil(F.count("*") / (4 * group)).cast("int").alias("parts"))
+    members = own.join(parts, "grp").select("rep", "grp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("member"))
+    queries = opened.join(parts, "grp").select("rep", "grp", F.expr("cast(pmod(xxhash64(rep, 7), parts) as int)").alias("part"), F.lit(False).alias("member"))
+    # groups of one text that only itself opens need no look
+    alone = opened.join(own.select("grp", F.col("rep").alias("owner")), "grp").groupBy("grp").agg(F.max(F.col("rep") != F.col("owner")).alias("met")).where("met").select("grp")
+    roles = members.unionByName(queries).join(alone, "grp", "left_semi")
+    sets = texts.join(roles, "rep").select("grp", "part", "rep", "copies", "member", "weight", "digests", "lengths").repartition("grp", "part").sortWithinPartitions("grp", "part", F.col("member").desc(), "rep")
+    return sets.mapInArrow(_opener(threshold), _LINKS_DDL), ranked.select("rep", "again")
+
+
+def fingerprint_report(docs: DataFrame, threshold: float = THRESHOLD, group: int = GROUP) -> DataFrame:
+    """(doc_id, n_bytes, n_chunks, digests, lengths, weight, copy_of, repeated, class_id, links, partner, containment), one row for each doc_id.
+
+    weight is the length of the distinct chunks. copy_of is the least id with the same set of chunks, the document's own if there is none
+    before it. repeated is the share of the weight in chunks that documents of other fingerprints have too. links is the number of other documents,
+    copies included, of which this one contains the threshold or that contain as much of it; classes are what links
+    connect, named by their least id. partner is, of documents of other fingerprints that are linked, the one that contains most of this one (of equals the
+    least; copies by their least id), and containment how much of it; null without links to others. A null or empty text has no chunks, is
+    repeated by 0 and a class of its own. Null ids are left out; of rows that repeat an id with different texts the one
+    with most bytes, then of the greatest digests, counts. Costs grow with the number of chunks, except within clusters of different texts.
+    """
+    sets = F.sort_array("digests")
+    whole = fingerprints(docs).where("doc_id is not null").withColumns({"h": F.xxhash64(sets), "i": F.hash(sets, F.lit(1))})
+    prints = materialize(whole, "prints")
+    first = prints.groupBy("doc_id").agg(F.max(F.struct("n_bytes", "h", "i")).alias("x"), F.count("*").alias("c"))
+    copy = first.select("doc_id", F.col("x.h").alias("h"), F.col("x.i").alias("i"), F.col("x.n_bytes").alias("n_bytes"))
+    least = copy.groupBy("h", "i").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    of = materialize(copy.join(least, ["h", "i"]).select("doc_id", "n_bytes", "h", "i", "rep", "copies"), "copies")
+    own = of.where("doc_id = rep").select("rep", "n_bytes", "h", "i", "copies")
+    chunks = prints.where("n_chunks > 0").select(F.col("doc_id").alias("rep"), "n_bytes", "h", "i", "digests", "lengths", _weight().alias("weight"))
+    texts = materialize(chunks.join(own, ["rep", "n_bytes", "h", "i"]).select("rep", "copies", "weight", "digests", "lengths").dropDuplicates(["rep"]), "texts")
+    got, again = _linked(texts, threshold, group)
+    got = materialize(got, "links")
+    near = got.where("links is not null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("near"), F.max(F.struct("part", (-F.col("b")).alias("b"))).alias("p"))
+    root = components(got.where("links is null").select("a", "b")).select(F.col("node").alias("rep"), "root")
+    of = of.join(near, "rep", "left").join(root, "rep", "left").join(again, "rep", "left")
+    # texts without chunks are no copies of one another
+    empty = F.col("n_chunks") == 0
+    facts = of.select("doc_id", "n_bytes", "h", "i", "rep", "copies", "near", "root", "again", (-F.col("p.b")).alias("partner"), F.col("p.part").alias("part"))
+    out = prints.dropDuplicates(["doc_id", "n_bytes", "h", "i"]).join(facts, ["doc_id", "n_bytes", "h", "i"]).withColumn("weight", _weight())
+    mine = lambda c: F.when(empty, F.col("doc_id")).otherwise(c)
+    return out.select(
+        "doc_id", "n_bytes", "n_chunks", "digests", "lengths", "weight", mine(F.col("rep")).alias("copy_of"), F.round(F.coalesce(F.col("again") / F.col("weight"), F.lit(0.0)), 6).alias("repeated"),
+        mine(F.coalesce("root", "rep")).alias("class_id"), F.when(empty, F.lit(0)).otherwise(F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("links"), "partner", F.round("part", 6).alias("containment"),
+    )
 
 
 def query(spark, sf_dir: str) -> DataFrame:

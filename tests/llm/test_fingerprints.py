@@ -50,29 +50,75 @@ def test_an_insertion_changes_few_chunks(spark):
     assert c[1, 1] == 1.0 and c[1, 2] > 0.9 and c[2, 1] > 0.9
 
 
-def test_report_against_brute_force(spark, tiny):
-    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{tiny}/documents.parquet").collect()]
-    prints = {i: dict((xxhash.xxh3_64_intdigest(c), len(c)) for c in slow_chunks(t.encode())) for i, t in docs}
-    first = {}
-    for i in sorted(prints):
-        for d in prints[i]:
-            first.setdefault(d, i)
-    got = {r.doc_id: r for r in P.query(spark, tiny).collect()}
-    assert set(got) == set(prints)
+def brute(prints, threshold=P.THRESHOLD):
+    """doc_id -> (copy_of, repeated, class, links, partner, containment)."""
+    reps = {}
+    copy = {i: (reps.setdefault(frozenset(p), i) if p else i) for i, p in sorted(prints.items())}
+    weight = {i: sum(p.values()) for i, p in prints.items()}
+    root, links, best = {i: copy[i] for i in prints}, {i: 0 for i in prints}, {i: (0, 0) for i in prints}
+    held = {}
+    for i in prints:
+        if copy[i] == i:
+            for d in prints[i]:
+                held.setdefault(d, []).append(i)
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = [i for i in prints if prints[i]]
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            common = sum(n for d, n in prints[a].items() if d in prints[b])
+            if common >= threshold * min(weight[a], weight[b]):
+                links[a] += 1
+                links[b] += 1
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+                if copy[a] != copy[b]:
+                    best[a] = min(best[a], (-common / weight[a], copy[b]))
+                    best[b] = min(best[b], (-common / weight[b], copy[a]))
+    out = {}
     for i, p in prints.items():
-        weight, by = sum(p.values()), {}
-        for d, n in p.items():
-            if first[d] < i:
-                by[first[d]] = by.get(first[d], 0) + n
-        assert got[i].weight == weight
-        assert abs(got[i].repeated - round(sum(by.values()) / weight if weight else 0, 6)) < 2e-6
-        if by:
-            origin = min(by, key=lambda k: (-by[k], k))
-            assert got[i].origin == origin
-            exact = sum(n for d, n in p.items() if d in prints[origin]) / weight
-            assert abs(got[i].origin_containment - exact) < 2e-6
-        else:
-            assert got[i].origin is None and got[i].origin_containment is None
+        again = sum(n for d, n in p.items() if len(held[d]) > 1)
+        s, partner = best[i]
+        out[i] = (copy[i], round(again / weight[i], 6) if p else 0.0, find(i), links[i], partner if s else None, round(-s, 6) if s else None)
+    return out
+
+
+def report(df, **how):
+    return {r.doc_id: (r.copy_of, r.repeated, r.class_id, r.links, r.partner, r.containment) for r in P.fingerprint_report(df, **how).collect()}
+
+
+def same(got, want):
+    assert set(got) == set(want)
+    for i in want:
+        assert got[i][:1] + got[i][2:5] == want[i][:1] + want[i][2:5], (i, got[i], want[i])
+        assert abs(got[i][1] - want[i][1]) < 2e-6 and (got[i][5] is None) == (want[i][5] is None) and abs((got[i][5] or 0) - (want[i][5] or 0)) < 2e-6
+
+
+def chunk_sets(docs):
+    return {i: dict((np.uint64(xxhash.xxh3_64_intdigest(c)).astype(np.int64).item(), len(c)) for c in slow_chunks(t.encode())) for i, t in docs}
+
+
+def test_report_against_brute_force(spark, tiny):
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    same(report(docs), brute(chunk_sets([(r.doc_id, r.text) for r in docs.collect()])))
+
+
+def test_copies_parts_and_shared_passages_against_brute_force(spark):
+    rng = np.random.default_rng(8)
+    some = lambda n: " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 9))) for _ in range(n))
+    passage, docs = some(60), []
+    for k in range(12):
+        base = some(150)
+        docs += [base, base, base + " " + some(100), base[:500], some(40) + " " + passage, base[:600] + passage, ""]
+    docs = list(enumerate(docs))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = brute(chunk_sets(docs))
+    same(report(df), want)
+    same(report(df, group=2), want)
 
 
 def test_passages_of_fifty_words_are_found(spark):
