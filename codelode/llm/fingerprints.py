@@ -33,6 +33,8 @@ LEAST, NORMAL, MOST = 16, 48, 128
 THRESHOLD = 0.5
 #: Members of a group; a larger one is divided by hash of the id.
 GROUP = 4096
+#: Rows of repeated texts up to which their numbers are broadcast (8 bytes each).
+BROADCAST_ROWS = 2_000_000
 #: Leading zero bits asked for before and after the normal size.
 STRICT, LOOSE = 6, 4
 
@@ -66,12 +68,15 @@ def boundaries(size: int, strict: list[int], loose: list[int]) -> list[int]:
     return [*out, size] if size else out
 
 
-_SKETCH = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_chunks", pa.int32()), ("digests", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32()))])
-_DDL = "doc_id long, n_bytes long, n_chunks int, digests array<long>, lengths array<int>"
+#: A chunk is one integer: 57 bits of its digest, then its length less one, as MOST is at most 128.
+_BITS = 7
+_SKETCH = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_chunks", pa.int32()), ("chunks", pa.list_(pa.int64()))])
+_DDL = "doc_id long, n_bytes long, n_chunks int, chunks array<long>"
 
 
 def _chunker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     top = np.uint64(64)
+    digest = xxhash.xxh3_64_intdigest
     for batch in batches:
         b, offs = buffers(batch.column(1))
         for i, j in slices(offs):
@@ -84,21 +89,31 @@ def _chunker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             edge = offs[i : j + 1] - base
             lo, st = np.searchsorted(loose, edge), np.searchsorted(strict, edge)
             loose, strict = (loose + 1).tolist(), (strict + 1).tolist()
-            count, digests, lengths, at = [], [], [], [0]
+            count, chunks, at = [], [], [0]
             for r in range(j - i):
                 first, size = int(edge[r]), int(edge[r + 1] - edge[r])
                 ends = boundaries(size, [x - first for x in strict[st[r] : st[r + 1]]], [x - first for x in loose[lo[r] : lo[r + 1]]])
                 seen, s = {}, 0
                 for e in ends:
-                    seen[xxhash.xxh3_64_intdigest(raw[first + s : first + e])] = e - s
+                    seen[digest(raw[first + s : first + e]) >> _BITS << _BITS | (e - s - 1)] = None
                     s = e
                 count.append(len(ends))
-                digests += seen
-                lengths += seen.values()
-                at.append(len(digests))
-            d = np.array(digests, np.uint64).view(np.int64)
-            cols = [batch.column(0).slice(i, j - i), pa.array(np.diff(edge)), pa.array(count, pa.int32()), lists(d, np.array(at), pa.int64()), lists(np.array(lengths, np.int32), np.array(at), pa.int32())]
-            yield pa.RecordBatch.from_arrays(cols, schema=_SKETCH)
+                chunks += seen
+                at.append(len(chunks))
+            c = lists(np.array(chunks, np.uint64).view(np.int64), np.array(at), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(edge)), pa.array(count, pa.int32()), c], schema=_SKETCH)
+
+
+def _prints(docs: DataFrame) -> DataFrame:
+    return pick(docs, doc_id="long", text="string").mapInArrow(_chunker, _DDL)
+
+
+def _length(chunk: F.Column) -> F.Column:
+    return (chunk.bitwiseAND(F.lit(MOST - 1)) + 1).cast("int")
+
+
+def _arrays() -> list[F.Column]:
+    return [F.transform("chunks", lambda c: F.shiftrightunsigned(c, _BITS)).alias("digests"), F.transform("chunks", _length).alias("lengths")]
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -106,7 +121,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     A null or empty text has no chunks. Null ids stay null, repeated rows give repeated results, other columns are ignored.
     """
-    return pick(docs, doc_id="long", text="string").mapInArrow(_chunker, _DDL)
+    return _prints(docs).select("doc_id", "n_bytes", "n_chunks", *_arrays())
 
 
 def _exploded(prints: DataFrame) -> DataFrame:
@@ -167,20 +182,20 @@ def _opener(threshold: float):
 
         def begin() -> None:
             nonlocal group, forest, links, best, by
-            ids, copies, weight, digests = zip(*held) if held else ((), (), (), ())
-            flat = np.concatenate(digests) if held else np.zeros(0, np.int64)
-            who = np.repeat(np.arange(len(ids)), [len(x) for x in digests])
+            ids, copies, weight, chunks = zip(*held) if held else ((), (), (), ())
+            flat = np.concatenate(chunks) if held else np.zeros(0, np.int64)
+            who = np.repeat(np.arange(len(ids)), [len(x) for x in chunks])
             o = np.argsort(flat, kind="stable")
             group = np.array(ids, np.int64), np.array(copies, np.int64), np.array(weight, np.int64), flat[o], who[o]
             forest = _Forest()
             links, best, by = np.zeros(len(ids), np.int64), np.zeros(len(ids)), np.zeros(len(ids), np.int64)
 
-        def compare(doc: int, copies: int, weight: int, digests: np.ndarray, lengths: np.ndarray) -> None:
+        def compare(doc: int, copies: int, weight: int, chunks: np.ndarray) -> None:
             ids, n, w, flat, who = group
-            lo, hi = np.searchsorted(flat, digests, "left"), np.searchsorted(flat, digests, "right")
+            lo, hi = np.searchsorted(flat, chunks, "left"), np.searchsorted(flat, chunks, "right")
             c = hi - lo
             at = np.repeat(lo - np.concatenate([[0], np.cumsum(c)[:-1]]), c) + np.arange(c.sum())
-            common = np.bincount(who[at], np.repeat(lengths, c), len(ids))
+            common = np.bincount(who[at], np.repeat((chunks & (MOST - 1)) + 1, c), len(ids))
             k = np.flatnonzero((common >= threshold * weight) & ((w > weight) | ((w == weight) & (ids > doc))))
             if not len(k):
                 return
@@ -204,18 +219,18 @@ def _opener(threshold: float):
 
         for batch in batches:
             grp, part, doc, copies, member, weight = (batch.column(k).to_numpy(zero_copy_only=False).tolist() for k in range(6))
-            (digests, at), (lengths, _) = _flat(batch, 6), _flat(batch, 7)
+            chunks, at = _flat(batch, 6)
             for r in range(batch.num_rows):
                 if (grp[r], part[r]) != key:
                     end()
                     key, held, group = (grp[r], part[r]), [], None
                 x = slice(at[r], at[r + 1])
                 if member[r]:
-                    held.append((doc[r], copies[r], weight[r], digests[x]))
+                    held.append((doc[r], copies[r], weight[r], chunks[x].copy()))
                     continue
                 if group is None:
                     begin()
-                compare(doc[r], copies[r], weight[r], digests[x], lengths[x])
+                compare(doc[r], copies[r], weight[r], chunks[x])
                 if len(out) > 100_000:
                     yield flush()
         end()
@@ -225,30 +240,31 @@ def _opener(threshold: float):
     return run
 
 
-def _weight() -> F.Column:
-    return F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)
+def _weight(chunks: str) -> F.Column:
+    return F.aggregate(chunks, F.lit(0).cast("long"), lambda a, x: a + _length(x))
 
 
-def _linked(texts: DataFrame, threshold: float, group: int) -> tuple[DataFrame, DataFrame]:
-    """(a, b, links, part) as _opener() gives it, and (rep, again): the weight of chunks that other texts have too. texts: rep, copies, weight, digests, lengths."""
-    c = texts.select("rep", "weight", F.explode(F.arrays_zip("digests", "lengths")).alias("c")).select("rep", "weight", F.col("c.digests").alias("digest"), F.col("c.lengths").alias("length"))
-    df = c.groupBy("digest").agg(F.count("*").cast("int").alias("df")).where("df > 1")
-    shared = materialize(c.join(df, "digest"), "shared")
-    # chunks from the most frequent on are left out while they weigh less than the threshold
-    ranked = shared.groupBy("rep").agg(F.first("weight").alias("weight"), F.sum("length").cast("long").alias("again"), F.sort_array(F.collect_list(F.struct("df", "digest", "length")), asc=False).alias("t"))
+def _linked(texts: DataFrame, facts: DataFrame, threshold: float, group: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b, links, part) as _opener() gives it, and (rep, again): the weight of chunks that other texts have too. texts: rep, chunks; facts: rep, copies, weight."""
+    c = texts.select("rep", F.explode("chunks").alias("chunk"))
+    df = c.groupBy("chunk").agg(F.count("*").cast("int").alias("df")).where("df > 1")
+    shared = c.join(df, "chunk")
+    # a text's shared chunks, the most frequent first
+    listed = shared.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "chunk")), asc=False).alias("t")).select("rep", F.transform("t", lambda x: x["chunk"]).alias("chunks"))
+    listed = materialize(listed.join(facts, "rep"), "shared")
+    # they are left out from the look-up while they weigh less than the threshold
     limit = F.col("weight") * threshold
-    state = F.struct(F.lit(0.0).alias("left"), F.slice(F.transform("t", lambda x: x["digest"]), 1, 0).alias("look"))
-    step = F.aggregate("t", state, lambda s, x: F.when(s["left"] + x["length"] < limit, F.struct((s["left"] + x["length"]).cast("double").alias("left"), s["look"].alias("look"))).otherwise(F.struct(F.lit(float("inf")).alias("left"), F.concat(s["look"], F.array(x["digest"])).alias("look"))))
-    ranked = materialize(ranked.select("rep", "weight", "again", step["look"].alias("look"), F.array_min(F.transform("t", lambda x: x["digest"])).alias("least")), "ranked")
-    own = ranked.select("rep", F.coalesce(F.array_min("look"), "least").alias("grp"))
+    state = F.struct(F.lit(0.0).alias("left"), F.lit(0).alias("n"))
+    left = F.aggregate("chunks", state, lambda s, x: F.when(s["left"] + _length(x) < limit, F.struct((s["left"] + _length(x)).cast("double").alias("left"), (s["n"] + 1).alias("n"))).otherwise(F.struct(F.lit(float("inf")).alias("left"), s["n"].alias("n"))))
+    ranked = listed.withColumn("look", F.slice("chunks", left["n"] + 1, F.greatest(F.size("chunks"), F.lit(1))))
+    own = ranked.select("rep", F.coalesce(F.array_min("look"), F.array_min("chunks")).alias("grp"))
     # any division into groups is right, so a hot one is divided further
     hot = own.groupBy("grp").agg(F.count("*").alias("c")).where(F.col("c") > group)
     own = own.join(hot, "grp", "left").select("rep", F.when(F.col("c").isNull(), F.col("grp")).otherwise(F.xxhash64("grp", F.expr(f"pmod(xxhash64(rep), cast(ceil(c / {group}) as bigint))"))).alias("grp"))
     own = materialize(own, "groups")
-    look = ranked.select("rep", F.explode("look").alias("digest"))
-    wanted = look.select("digest").distinct()
-    index = shared.join(wanted, "digest", "left_semi").join(own, "rep").select("digest", "grp").distinct()
-    opened = materialize(look.join(index, "digest").select("rep", "grp").distinct(), "opened")
+    look = ranked.select("rep", F.explode("look").alias("chunk"))
+    index = listed.join(own, "rep").select(F.explode("chunks").alias("chunk"), "grp").distinct()
+    opened = materialize(look.join(index, "chunk").select("rep", "grp").distinct(), "opened")
     # a group that many texts open is compared in parts, each with all its members
     parts = opened.groupBy("grp").agg(F.ceil(F.count("*") / (4 * group)).cast("int").alias("parts"))
     members = own.join(parts, "grp").select("rep", "grp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("member"))
@@ -256,8 +272,9 @@ def _linked(texts: DataFrame, threshold: float, group: int) -> tuple[DataFrame,
     # groups of one text that only itself opens need no look
     alone = opened.join(own.select("grp", F.col("rep").alias("owner")), "grp").groupBy("grp").agg(F.max(F.col("rep") != F.col("owner")).alias("met")).where("met").select("grp")
     roles = members.unionByName(queries).join(alone, "grp", "left_semi")
-    sets = texts.join(roles, "rep").select("grp", "part", "rep", "copies", "member", "weight", "digests", "lengths").repartition("grp", "part").sortWithinPartitions("grp", "part", F.col("member").desc(), "rep")
-    return sets.mapInArrow(_opener(threshold), _LINKS_DDL), ranked.select("rep", "again")
+    # chunks of one text alone can't be common to two
+    sets = listed.join(roles, "rep").select("grp", "part", "rep", "copies", "member", "weight", "chunks").repartition("grp", "part").sortWithinPartitions("grp", "part", F.col("member").desc(), "rep")
+    return sets.mapInArrow(_opener(threshold), _LINKS_DDL), listed.select("rep", _weight("chunks").alias("again"))
 
 
 def fingerprint_report(docs: DataFrame, threshold: float = THRESHOLD, group: int = GROUP) -> DataFrame:
@@ -271,30 +288,31 @@ def fingerprint_report(docs: DataFrame, threshold: float = THRESHOLD, group: int
     repeated by 0 and a class of its own. Null ids are left out; of rows that repeat an id with different texts the one
     with most bytes, then of the greatest digests, counts. Costs grow with the number of chunks, except within clusters of different texts.
     """
-    sets = F.sort_array("digests")
-    whole = fingerprints(docs).where("doc_id is not null").withColumns({"h": F.xxhash64(sets), "i": F.hash(sets, F.lit(1))})
+    sets = F.sort_array("chunks")
+    whole = _prints(docs).where("doc_id is not null").select(F.monotonically_increasing_id().alias("row"), "*", F.xxhash64(sets).alias("h"), F.hash(sets).alias("i"), _weight("chunks").alias("weight"))
     prints = materialize(whole, "prints")
-    first = prints.groupBy("doc_id").agg(F.max(F.struct("n_bytes", "h", "i")).alias("x"), F.count("*").alias("c"))
-    copy = first.select("doc_id", F.col("x.h").alias("h"), F.col("x.i").alias("i"), F.col("x.n_bytes").alias("n_bytes"))
-    least = copy.groupBy("h", "i").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    of = materialize(copy.join(least, ["h", "i"]).select("doc_id", "n_bytes", "h", "i", "rep", "copies"), "copies")
-    own = of.where("doc_id = rep").select("rep", "n_bytes", "h", "i", "copies")
-    chunks = prints.where("n_chunks > 0").select(F.col("doc_id").alias("rep"), "n_bytes", "h", "i", "digests", "lengths", _weight().alias("weight"))
-    texts = materialize(chunks.join(own, ["rep", "n_bytes", "h", "i"]).select("rep", "copies", "weight", "digests", "lengths").dropDuplicates(["rep"]), "texts")
-    got, again = _linked(texts, threshold, group)
+    light = prints.select("row", "doc_id", "n_bytes", "n_chunks", "h", "i", "weight")
+    one = light.groupBy("doc_id").agg(F.max_by(F.struct("row", "h", "i", "n_chunks", "weight"), F.struct("n_bytes", "h", "i", -F.col("row"))).alias("x")).select("doc_id", "x.*")
+    # texts without chunks are no copies of one another
+    key = F.when(F.col("n_chunks") == 0, F.col("doc_id")).otherwise(F.lit(0)).alias("alone")
+    one = one.withColumn("alone", key)
+    least = one.groupBy("h", "i", "alone").agg(F.min_by(F.struct("doc_id", "row"), "doc_id").alias("x"), F.count("*").alias("copies")).select("h", "i", "alone", F.col("x.doc_id").alias("rep"), F.col("x.row").alias("rep_row"), "copies")
+    of = materialize(one.join(least, ["h", "i", "alone"]).select("doc_id", "row", "rep", "rep_row", "copies", "n_chunks", "weight"), "copies")
+    # rows that are not their text's first; they are few enough for a broadcast, or joined
+    n_rows, n_texts = light.count(), of.where("row = rep_row").count()
+    other = light.select("row").join(of.where("row = rep_row").select("row"), "row", "left_anti")
+    drop = materialize(other, "other-rows")
+    drop = F.broadcast(drop) if n_rows - n_texts <= BROADCAST_ROWS else drop
+    reps = of.where("row = rep_row")
+    texts = prints.where("n_chunks > 0").join(drop, "row", "left_anti").select(F.col("doc_id").alias("rep"), "chunks")
+    got, again = _linked(texts, reps.select("rep", "copies", "weight"), threshold, group)
     got = materialize(got, "links")
     near = got.where("links is not null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("near"), F.max(F.struct("part", (-F.col("b")).alias("b"))).alias("p"))
     root = components(got.where("links is null").select("a", "b")).select(F.col("node").alias("rep"), "root")
-    of = of.join(near, "rep", "left").join(root, "rep", "left").join(again, "rep", "left")
-    # texts without chunks are no copies of one another
-    empty = F.col("n_chunks") == 0
-    facts = of.select("doc_id", "n_bytes", "h", "i", "rep", "copies", "near", "root", "again", (-F.col("p.b")).alias("partner"), F.col("p.part").alias("part"))
-    out = prints.dropDuplicates(["doc_id", "n_bytes", "h", "i"]).join(facts, ["doc_id", "n_bytes", "h", "i"]).withColumn("weight", _weight())
-    mine = lambda c: F.when(empty, F.col("doc_id")).otherwise(c)
-    return out.select(
-        "doc_id", "n_bytes", "n_chunks", "digests", "lengths", "weight", mine(F.col("rep")).alias("copy_of"), F.round(F.coalesce(F.col("again") / F.col("weight"), F.lit(0.0)), 6).alias("repeated"),
-        mine(F.coalesce("root", "rep")).alias("class_id"), F.when(empty, F.lit(0)).otherwise(F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("links"), "partner", F.round("part", 6).alias("containment"),
-    )
+    facts = of.join(near, "rep", "left").join(root, "rep", "left").join(again, "rep", "left")
+    facts = facts.select("row", F.col("rep").alias("copy_of"), F.coalesce("root", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("links"), "again", (-F.col("p.b")).alias("partner"), F.round("p.part", 6).alias("containment"))
+    out = prints.join(facts, "row")
+    return out.select("doc_id", "n_bytes", "n_chunks", *_arrays(), "weight", "copy_of", F.round(F.coalesce(F.col("again") / F.col("weight"), F.lit(0.0)), 6).alias("repeated"), "class_id", "links", "partner", "containment")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
