@@ -2,10 +2,11 @@
 
 Every query (a row of a table of texts) asks for the K documents of highest BM25 score, a sum over its distinct words of
 one partial score each. A word's list of partial scores is one node of the algorithm.
-Phase one: each list's K best entries are joined to the queries that have the word; the K-th best partial sum of a
-query over its number of words is a cutoff that some word of every document of the result reaches.
+Phase one: each list's K best entries are joined to the queries that have the word, and the K documents of best partial sums are
+scored exactly: the least of their scores, tau, is at most the K-th best. The cutoff is the largest one at which a document below it in all lists,
+each adding less than the cutoff or at most its list's best entry, stays under tau; a list of low entries so takes less than an equal share.
 Phase two: all entries at or above the cutoff are collected; a document's sum so far, with the most that each of its
-unseen words can add, bounds its score from above, and the K-th best sum so far from below; what cannot reach it goes.
+unseen words can add, bounds its score from above, and tau or the K-th best sum so far from below; what cannot reach it goes.
 Phase three: the remaining documents' missing scores are looked up, and their exact sums ranked.
 Partial scores are whole millionths, so sums are exact whatever their order.
 """
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, pick
@@ -94,37 +95,55 @@ def topk_search(docs: DataFrame, queries: DataFrame, k: int = K, query_id: str =
     frequency = F.broadcast(frequency) if small else frequency
     idf = F.log(F.lit(1.0) + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(float(average))))
-    scored = entries.join(frequency, "term").select("term", "doc_id", F.floor(part * 1e6 + 0.5).alias("s")).where("s > 0")
+    scored = materialize(entries.join(frequency, "term").select("term", "doc_id", F.floor(part * 1e6 + 0.5).alias("s")).where("s > 0"), "scored")
 
     # phase one
     best = Window.partitionBy("term").orderBy(F.col("s").desc(), "doc_id")
     heads = materialize(scored.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k), "heads")
     tops = heads.groupBy("term").agg(F.max("s").alias("most"))
-    words_of = qw.join(tops, "term")  # words that no document has can't add anything
-    tau = _kth(words_of.join(heads.select("term", "doc_id", "s"), "term").groupBy("query_id", "doc_id").agg(F.sum("s").alias("s")), k)
-    m = words_of.groupBy("query_id").agg(F.count("*").alias("m"))
-    cut = m.join(tau, "query_id").select("query_id", F.greatest(F.lit(1), F.ceil(F.col("tau") / F.col("m"))).alias("cut"))
-    lists_of = materialize(words_of.join(cut, "query_id").withColumn("rest", F.least(F.col("cut") - 1, F.col("most"))), "lists")
-    n_lists = lists_of.count()
+    words_of = materialize(qw.join(tops, "term"), "words-of")  # words that no document has can't add anything
+    n_lists = words_of.count()
     small = n_lists <= BROADCAST_ROWS
 
     def hint(df: DataFrame) -> DataFrame:
         return F.broadcast(df) if small else df
 
+    def exact(pairs: DataFrame) -> DataFrame:
+        """(query_id, doc_id, s): whole scores of pairs."""
+        wanted = pairs.join(hint(words_of.select("query_id", "term")), "query_id")
+        return scored.join(wanted, ["doc_id", "term"]).groupBy("query_id", "doc_id").agg(F.sum("s").alias("s"))
+
+    w = Window.partitionBy("query_id").orderBy(F.col("s").desc(), "doc_id")
+    first = words_of.join(heads.select("term", "doc_id", "s"), "term").groupBy("query_id", "doc_id").agg(F.sum("s").alias("s"))
+    first = materialize(first.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).select("query_id", "doc_id"), "first")
+    tau = _kth(exact(first), k)
+    cut = words_of.join(tau, "query_id").groupBy("query_id", "tau").agg(F.sort_array(F.collect_list("most")).alias("most")).select("query_id", "tau", _cutoff().alias("cut"))  # one entry a word of the query
+    lists_of = materialize(words_of.join(cut, "query_id").withColumn("rest", F.least(F.col("cut") - 1, F.col("most"))), "lists")
+
     # phase two; a list is first cut at the least cutoff of its queries
     lowest = lists_of.groupBy("term").agg(F.min("cut").alias("low"))
-    reached = scored.join(hint(lowest), "term").where("s >= low").join(hint(lists_of), "term").where("s >= cut")
+    reached = scored.join(hint(lowest), "term").where("s >= low").join(hint(lists_of.select("query_id", "term", "cut", "rest")), "term").where("s >= cut")
     seen = materialize(reached.groupBy("query_id", "doc_id").agg(F.sum("s").alias("s"), F.sum("rest").alias("known")), "seen")
-    bound = lists_of.groupBy("query_id").agg(F.sum("rest").alias("all_rest"))
-    limits = bound.join(_kth(seen, k), "query_id")
+    bound = lists_of.groupBy("query_id").agg(F.sum("rest").alias("all_rest"), F.first("tau").alias("least"))
+    limits = bound.join(_kth(seen, k), "query_id").select("query_id", "all_rest", F.greatest("least", "tau").alias("tau"))
     left = seen.join(hint(limits), "query_id").where(F.col("s") + F.col("all_rest") - F.col("known") >= F.col("tau")).select("query_id", "doc_id")
     left = materialize(left, "candidates")
 
     # phase three
-    wanted = scored.join(left.select("doc_id").distinct(), "doc_id", "left_semi")
-    exact = wanted.join(left, "doc_id").join(hint(lists_of.select("query_id", "term")), ["query_id", "term"]).groupBy("query_id", "doc_id").agg(F.sum("s").alias("s"))
-    final = Window.partitionBy("query_id").orderBy(F.col("s").desc(), "doc_id")
-    return exact.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", (F.col("s") / 1e6).alias("score"))
+    return exact(left).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", (F.col("s") / 1e6).alias("score"))
+
+
+def _cutoff() -> Column:
+    """Of the ascending `most` of a query's lists and its tau: the largest cutoff c, 1 at least, with sum(least(c - 1, most)) < tau."""
+    # the lists before place i give all they have, the others c - 1 each; the first i at which c - 1 is under the next list's best is the one
+    n = F.size("most")
+    step = F.aggregate("most", F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).cast("long").alias("i"), F.lit(None).cast("long").alias("c")),
+        lambda a, x: F.when(a["c"].isNotNull(), a).when(_share(a, n) < x, F.struct(a["sum"].alias("sum"), a["i"].alias("i"), _share(a, n).alias("c"))).otherwise(F.struct((a["sum"] + x).alias("sum"), (a["i"] + 1).alias("i"), a["c"].alias("c"))))
+    return F.greatest(F.lit(1).cast("long"), F.coalesce(step["c"], F.lit(0).cast("long")) + 1)
+
+
+def _share(a: Column, n: Column) -> Column:
+    return F.floor((F.col("tau") - 1 - a["sum"]) / (n - a["i"]))
 
 
 ORACLE_SQL = f"""

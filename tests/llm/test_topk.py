@@ -1,4 +1,5 @@
 import math
+import random
 import re
 from collections import Counter
 
@@ -38,6 +39,17 @@ def test_brute_force_with_ties_and_rare_words(spark):
         assert sorted(map(tuple, S.topk_search(d, q, k).collect())) == brute(docs, queries, k)
 
 
+def test_cutoffs(spark):
+    rng = random.Random(3)
+    rows = [(q, rng.randrange(0, 400), sorted(rng.randrange(1, 100) for _ in range(rng.randrange(1, 9)))) for q in range(300)]
+    got = {r.q: r.c for r in spark.createDataFrame(rows, "q int, tau long, most array<long>").select("q", S._cutoff().alias("c")).collect()}
+    for q, tau, most in rows:
+        under = lambda c: sum(min(c - 1, x) for x in most) < tau
+        assert got[q] == 1 or under(got[q])
+        # any higher one is too high, but where all lists together stay under tau
+        assert sum(most) < tau or not under(got[q] + 1)
+
+
 def test_both_ways_of_choosing_words(spark, monkeypatch):
     docs = [(k, " ".join(f"w{(k * j) % 13}" for j in range(1, 3 + k % 7))) for k in range(60)]
     d, q = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(docs, "item_id long, text string")
