@@ -1,4 +1,5 @@
 import hashlib
+import math
 from collections import Counter, defaultdict
 
 from helpers import assert_same
@@ -6,7 +7,7 @@ from helpers import assert_same
 from codelode.llm import mixing as M
 
 
-def brute(docs, weights, block):
+def brute(docs, weights, block, share=M.SHARE):
     streams = defaultdict(list)
     for i, s, t in docs:
         n = len((t or "").split())
@@ -15,12 +16,19 @@ def brute(docs, weights, block):
             streams[s or ""].append((key, -1 if i is None else i, i, n))
     out, total = [], {s: sum(x[3] for x in v) for s, v in streams.items()}
     names = [s for s in sorted(total) if weights.get(s, 0) > 0]
-    whole, run, stretch, lo = sum(weights[s] for s in names), 0.0, {}, 0
+    whole, stretch, lo = sum(weights[s] for s in names), {}, 0
     for s in names:
-        run += weights[s]
-        hi = int(run / whole * M._M + 0.5)
-        stretch[s], lo = (lo, hi), hi
-    n_slots = min(-(-total[s] // block) * M._M // (stretch[s][1] - stretch[s][0]) for s in names)
+        width = 1 + math.floor(weights[s] / whole * (M._M - 1 - len(names)))
+        stretch[s], lo = (lo, lo + width), lo + width
+    blocks = {s: -(-total[s] // block) for s in names}
+    # slots by bisection: what all sources together have placed by then
+    ends = sorted((blocks[s] * M._M / (stretch[s][1] - stretch[s][0]), s) for s in names)
+    target, n_slots = math.ceil(sum(blocks.values()) * share), 0
+    for k, (end, s) in enumerate(ends):
+        n_slots = math.ceil((target - sum(blocks[x] for _, x in ends[:k])) * (M._M / (lo - sum(stretch[x][1] - stretch[x][0] for _, x in ends[:k]))))
+        if n_slots <= math.ceil(end):
+            n_slots += 2 * len(names)
+            break
     taken, pieces = Counter(), defaultdict(list)
     for s, v in streams.items():
         at = 0
@@ -30,7 +38,9 @@ def brute(docs, weights, block):
             at += n
     for slot in range(n_slots):
         p = slot * M._G % M._M
-        s = next(s for s in names if stretch[s][0] <= p < stretch[s][1])
+        s = next((s for s in names if stretch[s][0] <= p < stretch[s][1]), None)
+        if s is None or taken[s] == blocks[s]:
+            continue
         for i, a, e in pieces.get((s, taken[s]), []):
             out.append((slot, s, taken[s], i, a, e))
         taken[s] += 1
@@ -45,8 +55,30 @@ def test_brute_force_and_proportions(spark):
     w = {"a": 0.5, "b": 0.3, "c": 0.2}
     want, taken = brute(DOCS, w, 16)
     assert sorted(map(tuple, M.mix_sources(df, w, block=16).collect()), key=repr) == want
-    slots = sum(taken.values())
-    assert all(abs(taken[s] - w[s] * slots) <= 3 for s in w)
+    # all of the sources, and no share over 90 % by more than rounding
+    assert 0.85 * 300 < len({r[3] for r in want if r[3] is not None}) <= 300
+    # until a source is used up, proportions hold
+    first = Counter(s for slot, s in {(r[0], r[1]) for r in want} if slot < 40)
+    assert all(abs(first[s] - w[s] * sum(first.values())) <= 3 for s in w)
+
+
+def test_a_tiny_source_does_not_end_the_schedule(spark):
+    docs = [(k, "big" if k % 2 else "other", "x " * 40) for k in range(400)] + [(1000, "tiny", "x y z")]
+    df = spark.createDataFrame(docs, "doc_id long, source string, text string")
+    kept = M.keep_mixed(df, block=16).collect()
+    assert 0.88 * 401 <= len(kept) <= 0.94 * 401
+    everything = M.mix_sources(df, block=16, share=1.0)
+    assert sum(r.to_token - r.from_token for r in everything.collect()) >= 0.99 * (400 * 40 + 3)
+
+
+def test_very_many_sources(spark):
+    n = 100_000
+    df = spark.range(n + 2000).selectExpr("id as doc_id", f"case when id < {n} then concat('s', id) else 'hot' end as source", "'a b c d' as text")
+    for broadcast in (10 * n, 0):
+        M.BROADCAST_SOURCES, was = broadcast, M.BROADCAST_SOURCES
+        kept = M.keep_mixed(df, block=4).count()
+        M.BROADCAST_SOURCES = was
+        assert 0.85 * n < kept <= n + 2000
 
 
 def test_no_token_twice(spark):
