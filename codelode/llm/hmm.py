@@ -2,10 +2,13 @@
 
 Symbols are the VOCABULARY most frequent words of the corpus, counted over all documents, and OTHERS classes (by hash)
 for the rest; within its class a word of the rest has the share of its own count over all documents, from a distributed
-table. What states say of such words is still learned by class. The model is trained by ROUNDS of Baum-Welch over every word of every document: each partition runs the
-scaled forward and backward recursions over its texts, in stretches of SEGMENT words, and returns expected counts by
+table. What states say of such words is learned by class. The model is trained by ROUNDS of Baum-Welch over every word of every document: each partition runs the
+scaled forward and backward recursions over its texts and returns expected counts by
 blocks of symbols; these are added up across partitions, and the sums make the next model. Scoring is the scaled forward
 recursion over each whole document, from its first word to its last, so the likelihood of the sequence is exact.
+
+Sequences are whole ones. To work on many words at a time, long ones are divided into stretches of SEGMENT words, all of which advance together; the products of
+their transition matrices carry the forward and backward vectors over the borders, so the division changes nothing but rounding.
 """
 
 from __future__ import annotations
@@ -107,33 +110,93 @@ def _layout(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, active, np.concatenate([[0], np.cumsum(active)])
 
 
-def log_likelihoods(m: Model, flat: np.ndarray, first: np.ndarray) -> np.ndarray:
+@dataclass
+class _Stretches:
+    """Sequences cut into stretches, with the vectors at their borders."""
+
+    first: np.ndarray  # borders of the stretches
+    of: np.ndarray  # the sequence of each
+    enter: np.ndarray  # (stretches, states): the distribution before a stretch's first word
+    leave: np.ndarray  # (stretches, states): how likely what follows is, up to a factor
+
+
+def _stretches(m: Model, flat: np.ndarray, first: np.ndarray, segment: int, backward: bool) -> _Stretches:
+    K = len(m.start)
+    n = np.diff(first)
+    parts = -(-n // segment)
+    borders = _segmented(first, segment)
+    of = np.repeat(np.arange(len(n)), parts)
+    S = len(of)
+    place = np.arange(S) - np.repeat(np.concatenate([[0], np.cumsum(parts)[:-1]]), parts)
+    last = place == parts[of] - 1
+    enter, leave = np.repeat(m.start[None], S, 0), np.ones((S, K))
+    inner = np.flatnonzero(~last)
+    if not len(inner):
+        return _Stretches(borders, of, enter, leave)
+    # products of (emission, move) over the stretches that another follows, which are all of `segment` words
+    X = np.repeat(np.eye(K)[None], len(inner), 0)
+    P = None
+    head = borders[inner]
+    for t in range(segment):
+        P = X * m.emit[flat[head + t]][:, None, :]
+        P /= P.sum((1, 2))[:, None, None]
+        X = (P.reshape(-1, K) @ m.move).reshape(-1, K, K)
+    at = np.full(S, -1)
+    at[inner] = np.arange(len(inner))
+    by = [inner[place[inner] == d] for d in range(int(place.max()))]
+    for k in by:
+        x = np.einsum("nk,nkj->nj", enter[k], X[at[k]])
+        enter[k + 1] = x / x.sum(1, keepdims=True)
+    if backward:
+        # what the last stretches say of their beginnings
+        tail = np.flatnonzero(last & (place > 0))
+        order, active, _ = _layout(np.diff(borders)[tail])
+        z = np.ones((len(tail), K))
+        head = borders[tail][order]
+        for t in range(len(active) - 1, 0, -1):
+            c = int(active[t])
+            y = (m.emit[flat[head[:c] + t]] * z[:c]) @ m.move.T
+            z[:c] = y / y.sum(1, keepdims=True)
+        z *= m.emit[flat[head]]
+        begin = np.zeros((S, K))
+        begin[tail[order]] = z
+        for k in reversed(by):
+            x = begin[k + 1] @ m.move.T
+            leave[k] = x / x.sum(1, keepdims=True)
+            begin[k] = np.einsum("nkj,nj->nk", P[at[k]], leave[k])
+            begin[k] /= begin[k].sum(1, keepdims=True)
+    return _Stretches(borders, of, enter, leave)
+
+
+def log_likelihoods(m: Model, flat: np.ndarray, first: np.ndarray, segment: int = SEGMENT) -> np.ndarray:
     """Of each sequence flat[first[k]:first[k + 1]]; 0 for an empty one."""
-    order, active, _ = _layout(np.diff(first))
-    out = np.zeros(len(first) - 1)
-    head = first[:-1][order]
+    s = _stretches(m, flat, first, segment, False)
+    order, active, _ = _layout(np.diff(s.first))
+    head = s.first[:-1][order]
     total = np.zeros(len(order))
-    a = np.repeat(m.start[None], len(order), 0)
+    a = s.enter[order]
     for t, n in enumerate(active.tolist()):
         a = (a[:n] if not t else a[:n] @ m.move) * m.emit[flat[head[:n] + t]]
         c = a.sum(1)
         total[:n] += np.log(c)
         a /= c[:, None]
-    out[order] = total
-    return out
+    return np.bincount(s.of[order], total, len(first) - 1)
 
 
-def expected_counts(m: Model, flat: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+def expected_counts(m: Model, flat: np.ndarray, first: np.ndarray, segment: int = SEGMENT) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Expected starts, moves and emissions, and the log likelihood, of sequences."""
     S, K = m.emit.shape
-    order, active, at = _layout(np.diff(first))
-    head = first[:-1][order]
+    cut = _stretches(m, flat, first, segment, True)
+    order, active, at = _layout(np.diff(cut.first))
+    head = cut.first[:-1][order]
     syms = np.empty(at[-1], np.int64)
     for t, n in enumerate(active.tolist()):
         syms[at[t] : at[t + 1]] = flat[head[:n] + t]
     E = m.emit[syms].astype(np.float32)
     A = m.move.astype(np.float32)
     alpha, c = np.empty_like(E), np.empty(len(E), np.float32)
+    enter, beta = cut.enter[order].astype(np.float32), cut.leave[order].astype(np.float32)
+    end = np.empty((len(order), K), np.float32)
     for t, n in enumerate(active.tolist()):
         now = slice(at[t], at[t + 1])
         a = alpha[now]
@@ -141,12 +204,13 @@ def expected_counts(m: Model, flat: np.ndarray, first: np.ndarray) -> tuple[np.n
             np.matmul(alpha[at[t - 1] : at[t - 1] + n], A, out=a)
             a *= E[now]
         else:
-            np.multiply(m.start.astype(np.float32)[None], E[now], out=a)
+            np.multiply(enter[:n], E[now], out=a)
         a.sum(1, out=c[now])
         a /= c[now][:, None]
+        end[:n] = a
     ll = float(np.log(c.astype(float)).sum())
     moves = np.zeros((K, K))
-    beta = np.ones((len(order), K), np.float32)
+    beta /= (end * beta).sum(1)[:, None]
     for t in range(len(active) - 1, 0, -1):
         n = int(active[t])
         now = slice(at[t], at[t + 1])
@@ -156,10 +220,21 @@ def expected_counts(m: Model, flat: np.ndarray, first: np.ndarray) -> tuple[np.n
         moves += before.T @ x
         alpha[now] *= beta[:n]  # from here on the posterior of this step
         beta[:n] = x @ A.T
+    starts = np.zeros(K)
     if len(active):
-        alpha[: at[1]] *= beta[: at[1]]
+        opening = alpha[: at[1]]
+        x = E[: at[1]] * beta / c[: at[1]][:, None]
+        opening *= beta
+        # moves over the borders; a sequence's other stretches follow it
+        where = np.empty(len(order), np.int64)
+        where[order] = np.arange(len(order))
+        follows = np.flatnonzero(np.concatenate([[False], cut.of[1:] == cut.of[:-1]]))
+        moves += end[where[follows - 1]].T @ x[where[follows]]
+        begins = np.ones(len(order), bool)
+        begins[follows] = False
+        starts = opening[where[begins]].sum(0, dtype=float)
     emissions = np.stack([np.bincount(syms, alpha[:, k], S) for k in range(K)], 1)
-    return alpha[: at[1]].sum(0, dtype=float) if len(active) else np.zeros(K), moves * m.move, emissions, ll
+    return starts, moves * m.move, emissions, ll
 
 
 def _segmented(first: np.ndarray, segment: int) -> np.ndarray:
@@ -189,7 +264,7 @@ def _expect(model, segment: int):
             for _, _, flat, first in _batches(batch.column(0)):
                 if len(flat):
                     some = True
-                    s, mv, e, x = expected_counts(m, flat, _segmented(first, segment))
+                    s, mv, e, x = expected_counts(m, flat, first, segment)
                     starts += s
                     moves += mv
                     emissions += e

@@ -41,6 +41,23 @@ def test_likelihood_and_counts_against_all_paths():
     assert np.isclose(ll, sum(np.log(w[0]) for w in want), atol=1e-3)
 
 
+def test_stretches_change_nothing():
+    m, rng = model(4, 30, 3), np.random.default_rng(6)
+    first = np.concatenate([[0], np.cumsum([1, 40, 7, 0, 8, 16, 100, 3, 33])])
+    flat = rng.integers(0, 30, first[-1])
+    want, ll = H.expected_counts(m, flat, first, 1000), H.log_likelihoods(m, flat, first, 1000)
+    for segment in (1, 2, 8, 16):
+        got = H.expected_counts(m, flat, first, segment)
+        for a, b in zip(got, want):
+            assert np.allclose(a, b, rtol=1e-4, atol=1e-4)
+        assert np.allclose(H.log_likelihoods(m, flat, first, segment), ll)
+    # all paths of one sequence, cut in the middle of it
+    x = flat[:6].tolist()
+    p, starts, moves, emissions = enumerate_paths(model(3, 30, 1), x)
+    got = H.expected_counts(model(3, 30, 1), np.array(x), np.array([0, 6]), 2)
+    assert np.allclose(got[0], starts, atol=1e-4) and np.allclose(got[1], moves, atol=1e-4) and np.allclose(got[2], emissions, atol=1e-4)
+
+
 def test_training_raises_the_likelihood_and_scores_are_exact(spark, tiny):
     docs = spark.read.parquet(f"{tiny}/documents.parquet").repartition(5)
     m, rows, heard = H.train(docs, rounds=4)
