@@ -1,11 +1,14 @@
 """Operator 6: personal data by a semi-Markov conditional random field.
 
-Segments, not tokens, are labelled: a candidate is a span of at most MAX_TOKENS tokens (runs of letters and digits,
+Segments, not tokens, are labelled: a candidate is a span of tokens (runs of letters and digits,
 single blanks, other single characters), and its features look at the whole span: shape of its digit groups, check
 digits, ranges of octets, domain endings, what stands at its borders and before it. A segment of no entity is one token
 and scores 0. Dynamic programming over all segmentations chooses borders and types together. The weights are fitted
 here by gradient ascent of the exact segmentation likelihood, on generated lines.
 
+Candidates are bounded: spans of at most MAX_TOKENS tokens that no entity's form rules out (_OPEN, MOST_GROUPS, one "@", digits enough), and besides,
+of any length, the longest addresses and dotted keys at each place (_LONG), so no entity is cut for its number of tokens. A place so begins at most MAX_TOKENS + 1 candidates, however long the text.
+
 A candidate holds a digit or "@", has no two blanks together, and each of its blank-separated pieces holds one too. So
 entities lie in runs of such pieces; elsewhere all segments are of no entity, and leaving those stretches out of the
 dynamic programme changes nothing (tests compare it with one over whole texts).
@@ -15,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,6 +33,12 @@ from .textops import buffers, slices
 
 TYPES = ["EMAIL", "PHONE", "IP", "CARD", "SECRET", "SSN", "IBAN"]
 MAX_TOKENS = 17
+#: Groups of digits in a span without letters.
+MOST_GROUPS = 5
+#: Characters that entities are made of; another one ends all spans before it.
+_OPEN = frozenset(" @._%+()-")
+#: Addresses and keys in parts, whole.
+_LONG = re.compile(r"(?a)(?<![A-Za-z0-9._%+@-])(?:[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![A-Za-z0-9@])|[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]{8,})+(?![A-Za-z0-9._@-])|[A-Za-z0-9_-]{24,}(?![A-Za-z0-9._@-]))")
 SEED = 7
 _TOKEN = re.compile(r"[A-Za-z0-9]+|[^A-Za-z0-9]")
 _CONTEXT = 24
@@ -56,9 +66,17 @@ def _entropy(s: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in (s.count(x) for x in set(s)))
 
 
-@lru_cache(maxsize=1 << 14)  # some 15 MB in each worker, which outlives its tasks
+#: Spans of more characters are not kept in the cache, which so takes some 15 MB in each worker; it outlives its tasks.
+_CACHED = 80
+
+
 def features(span: str, left: str, right: str, before: str) -> tuple[str, ...]:
     """Names of the features of one whole span, between the characters left and right, after the text before."""
+    return (_features if len(span) <= _CACHED else _features.__wrapped__)(span, left, right, before)
+
+
+@lru_cache(maxsize=1 << 14)
+def _features(span: str, left: str, right: str, before: str) -> tuple[str, ...]:
     digits = re.sub(r"\D", "", span)
     groups = re.findall(r"\d+", span)
     f = ["bias"]
@@ -114,6 +132,9 @@ def features(span: str, left: str, right: str, before: str) -> tuple[str, ...]:
             f.append("iban:" + ("check" if _mod97(span) else "nocheck"))
         if re.match(r"(sk|pk|ghp|gho|xox[bap]|AKIA)[_-]?", span) and n >= 16:
             f.append("key:prefix")
+    elif "@" not in span and re.fullmatch(r"[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]{8,})+", span):
+        f.append("dotted:" + str(min(span.count("."), 3)))
+        f.append("dotted:entropy:" + str(int(_entropy(span))))
     elif re.fullmatch(r"[A-Z]{2}\d{2}(?: [A-Z0-9]{1,4})+", span):
         f.append("iban:" + ("check" if _mod97(span.replace(" ", "")) else "nocheck"))
     else:
@@ -134,24 +155,41 @@ def candidates(tokens: list[str], before: str = "") -> list[tuple[int, int, tupl
     at = np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).tolist()
     trigger = [any(c.isascii() and c.isdigit() or c == "@" for c in t) for t in tokens]
     blank = [t.isspace() for t in tokens]
+    digits = [sum(c.isascii() and c.isdigit() for c in t) if len(t) < 40 else 40 for t in tokens]
+    letters = [t[0].isascii() and t[0].isalnum() and not t.isdigit() for t in tokens]
     out = []
+
+    def add(i: int, j: int) -> None:
+        s, e = at[i], at[j + 1]
+        left = text[s - 1 : s] or before[-1:]
+        out.append((i, j + 1, features(text[s:e], left, text[e : e + 1], (before + text[max(0, s - _CONTEXT) : s])[-_CONTEXT:])))
+
+    long = {m.start(): m.end() for m in _LONG.finditer(text)} if len(tokens) > MAX_TOKENS else {}
     for i, t in enumerate(tokens):
         if blank[i] or not (t[0].isascii() and t[0].isalnum() or t in "+("):
             continue
-        piece, seen = False, False
+        piece, seen, n, groups, dots, ats, word = False, False, 0, 0, 0, 0, False
         for j in range(i, min(len(tokens), i + MAX_TOKENS)):
+            last = tokens[j]
             if blank[j]:
-                if not piece or tokens[j] != " ":
+                if not piece or last != " ":
                     break
                 piece = False
                 continue
-            piece = piece or trigger[j]
-            seen = seen or trigger[j]
-            last = tokens[j]
-            if piece and seen and last[0].isascii() and last[0].isalnum():
-                s, e = at[i], at[j + 1]
-                left = text[s - 1 : s] or before[-1:]
-                out.append((i, j + 1, features(text[s:e], left, text[e : e + 1], (before + text[max(0, s - _CONTEXT) : s])[-_CONTEXT:])))
+            if not (last[0].isascii() and last[0].isalnum()) and last not in _OPEN:
+                break
+            piece, seen = piece or trigger[j], seen or trigger[j]
+            n, groups, dots, ats, word = n + digits[j], groups + (digits[j] > 0), dots + (last == "."), ats + (last == "@"), word or letters[j]
+            if ats > 1 or groups > MOST_GROUPS and not word:
+                break
+            # numbers of less digits are no entity, but addresses of hosts; what has letters is an address, or long
+            if (ats or n >= 7 or dots == 3 or word and at[j + 1] - at[i] >= 16) and piece and seen and last[0].isascii() and last[0].isalnum():
+                add(i, j)
+        if at[i] in long:
+            e = long[at[i]]
+            j = bisect_left(at, e) - 1
+            if j >= i + MAX_TOKENS and at[j + 1] == e and any(trigger[i : j + 1]):
+                add(i, j)
     return out
 
 
@@ -237,6 +275,9 @@ def _generate(rng: np.random.Generator) -> list[tuple[str, str | None]]:
 
     def secret() -> str:
         n = int(rng.integers(24, 65))
+        part = lambda k: letters(k, "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ-_")
+        if rng.random() < 0.15:
+            return "eyJ" + letters(17, "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") + "." + part(int(rng.integers(10, 60))) + "z." + part(int(rng.integers(20, 43))) + "0"
         return pick1(letters(n, "0123456789abcdef"), letters(40, "0123456789abcdef"), letters(32, "0123456789abcdef"), letters(n, "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"), pick1("sk_", "ghp_", "AKIA") + letters(n, "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"))
 
     def iban() -> str:
@@ -246,7 +287,7 @@ def _generate(rng: np.random.Generator) -> list[tuple[str, str | None]]:
         return x if rng.random() < 0.5 else " ".join(x[k : k + 4] for k in range(0, len(x), 4))
 
     make = {
-        "EMAIL": lambda: pick1(word(), word() + "." + word(), word() + "." + num(2), word() + "_" + num(3), word() + "+" + word()) + "@" + pick1(word() + "." + pick1("com", "org", "de", "example"), word() + num(1) + ".example." + pick1("com", "net", "org"), word() + "-" + word() + ".co.uk"),
+        "EMAIL": lambda: pick1(word(), word() + "." + word(), word() + "." + num(2), word() + "_" + num(3), word() + "+" + word(), ".".join(letters(1) for _ in range(int(rng.integers(3, 14)))) + "." + word()) + "@" + pick1(word() + "." + pick1("com", "org", "de", "example"), word() + num(1) + ".example." + pick1("com", "net", "org"), word() + "-" + word() + ".co.uk"),
         "PHONE": phone,
         "IP": lambda: ".".join(str(int(x)) for x in rng.integers(0, 256, 4)),
         "CARD": card,
@@ -273,6 +314,8 @@ def _generate(rng: np.random.Generator) -> list[tuple[str, str | None]]:
         lambda: letters(6, "0123456789abcdef"),
         lambda: num(4) + " " + num(4),
         lambda: num(3) + " " + num(2),
+        lambda: word() + "." + word() + num(1) + "." + word(),
+        lambda: "https://www." + word() + "." + word() + ".com/" + num(3),
     ]
     out: list[tuple[str, str | None]] = []
     for _ in range(int(rng.integers(2, 7))):

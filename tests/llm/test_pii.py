@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 
 from codelode.llm import pii as P
@@ -79,3 +81,22 @@ def test_clean_documents_stay_as_they_are(spark, tiny):
     docs = spark.read.parquet(f"{tiny}/documents.parquet").where("not text rlike '[0-9@]'")
     want = {r.doc_id: r.text for r in docs.collect()}
     assert want and {r.doc_id: r.redacted for r in P.detect(docs).collect()} == want
+
+
+def test_long_entities_are_found_whole():
+    model = P.fitted()
+    mail = "john.a.b.c.d.e.f.g.h.smith@mail.corp.example.com"
+    key = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIiwi-bmFtZSI6I_kpvaG4gRG9lIiwi-aWF0Ijox-NTE2MjM5MDIyfQ.SflKxwRJSMeKKF2QT4fw-pMeJf36POk6yJV_adQssw5c"
+    for text, kind in ((mail, "EMAIL"), (key, "SECRET")):
+        for around in ("mail {} now", "token = {}", "see {}"):
+            s = around.format(text)
+            i = s.index(text)
+            assert (i, i + len(text), kind) in P.find(model, s), (s, P.find(model, s))
+
+
+def test_long_numbers_and_addresses_take_time_in_proportion():
+    model = P.fitted()
+    for piece in ("1 ", "@", "12,34.5@", "1.", "7-", "a1 "):
+        began = time.process_time()
+        P.find(model, piece * (1_000_000 // len(piece)))
+        assert time.process_time() - began < 40, piece
