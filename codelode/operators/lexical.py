@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import path_parts, search_phrases, tokens
+from ..storage import materialize
 
 K1, B = 1.2, 0.75
 #: Field weights for specific and for common terms; "shifted" is what one column's offset makes of the first.
@@ -102,13 +103,13 @@ def idf(n: Column, df: Column) -> Column:
     return F.when(x > 0, x).otherwise(1e-6)
 
 
-def contributions(chunks: DataFrame, questions: DataFrame, fields: list[str], weights: dict[str, float] | None = None, own_weights: DataFrame | None = None) -> DataFrame:
+def contributions(chunks: DataFrame, questions: DataFrame, fields: list[str], weights: dict[str, float] | None = None, own_weights: DataFrame | None = None, found: DataFrame | None = None) -> DataFrame:
     """(query_id, n, pos, chunk_id, c): what each phrase adds to a chunk's score.
 
     own_weights, by query_id with columns w_<field>, replaces the one set of weights.
     """
     phrases = query_phrases(questions)
-    found = matches(chunks, phrases, fields)
+    found = materialize(matches(chunks, phrases, fields), "matches") if found is None else found
     freq = found.groupBy("term").agg(F.count("*").alias("df"))
     stats = corpus(chunks, fields)
     w = weights or WEIGHTS
@@ -136,14 +137,14 @@ def all_terms_match(chunks: DataFrame, questions: DataFrame, fields: list[str],
     return top(c.where("m = n").select("query_id", "chunk_id", "score"), k)
 
 
-def graduated(chunks: DataFrame, questions: DataFrame, fields: list[str], k: int = 20, weights: dict[str, float] | None = None, own_weights: DataFrame | None = None, enough: int = ENOUGH) -> DataFrame:
+def graduated(chunks: DataFrame, questions: DataFrame, fields: list[str], k: int = 20, weights: dict[str, float] | None = None, own_weights: DataFrame | None = None, enough: int = ENOUGH, found: DataFrame | None = None) -> DataFrame:
     """(query_id, chunk_id, score, rank, stage): matching by stages, all words, all but one, any two, any one.
 
     The first stage with `enough` chunks answers; from the second on a chunk keeps its best score over the word subsets
     looked at so far. As scores add up over words, the best subset is told from a chunk's sorted contributions, so one
     aggregate serves all stages.
     """
-    c = contributions(chunks, questions, fields, weights, own_weights)
+    c = contributions(chunks, questions, fields, weights, own_weights, found)
     g = c.groupBy("query_id", "n", "chunk_id").agg(F.sort_array(F.collect_list("c"), asc=False).alias("c"))
     total = F.aggregate("c", F.lit(0.0), lambda a, x: a + x)
     m, least = F.size("c"), F.element_at("c", -1)
@@ -159,10 +160,10 @@ def graduated(chunks: DataFrame, questions: DataFrame, fields: list[str], k: int
     return top(out.select("query_id", "chunk_id", "score", "stage"), k)
 
 
-def average_idf(chunks: DataFrame, questions: DataFrame, fields: list[str]) -> DataFrame:
-    """(query_id, avg_idf): the mean of ln(N / df) over a question's words that occur; 0 if none does."""
+def average_idf(chunks: DataFrame, questions: DataFrame, fields: list[str], found: DataFrame | None = None) -> DataFrame:
+    """(query_id, avg_idf): the mean of ln(N / df) over a question's words that occur; 0 if none does. found: the questions' matches(), if they are there."""
     phrases = query_phrases(questions)
-    freq = matches(chunks, phrases, fields).groupBy("term").agg(F.count("*").alias("df"))
+    freq = (matches(chunks, phrases, fields) if found is None else found).groupBy("term").agg(F.count("*").alias("df"))
     x = phrases.join(freq, "term").crossJoin(F.broadcast(chunks.agg(F.count("*").alias("n_all")))).groupBy("query_id").agg(F.avg(F.log(F.col("n_all") / F.col("df"))).alias("a"))
     return questions.select("query_id").join(x, "query_id", "left").select("query_id", F.coalesce("a", F.lit(0.0)).alias("avg_idf"))
 
@@ -182,8 +183,9 @@ def path_bonus(scored: DataFrame, questions: DataFrame) -> DataFrame:
 
 def search(chunks: DataFrame, questions: DataFrame, fields: list[str], k: int = 20) -> DataFrame:
     """(query_id, chunk_id, file_path, score, rank): adaptive weights, graduated matching of 2k, path bonus, the best k."""
-    own = adaptive_weights(average_idf(chunks, questions, fields), fields).drop("avg_idf")
-    hits = graduated(chunks, questions, fields, 2 * k, own_weights=own).select("query_id", "chunk_id", "score")
+    found = materialize(matches(chunks, query_phrases(questions), fields), "matches")
+    own = adaptive_weights(average_idf(chunks, questions, fields, found), fields).drop("avg_idf")
+    hits = graduated(chunks, questions, fields, 2 * k, own_weights=own, found=found).select("query_id", "chunk_id", "score")
     return top(path_bonus(hits.join(chunks.select("chunk_id", "file_path"), "chunk_id"), questions), k)
 
 

@@ -62,17 +62,17 @@ def seed_scores(spark, sf: str) -> DataFrame:
 
 
 def expansion_1hop(spark, sf: str) -> DataFrame:
-    return _Inputs(spark, sf).hop1().select("query_id", "file_path", F.round("priority", 4).alias("priority"), "place")
+    return _Inputs(spark, sf).hop1().select("query_id", "file_path", R.six("priority"), "place")
 
 
 def expansion_2hop(spark, sf: str) -> DataFrame:
     i = _Inputs(spark, sf)
-    return A.second_hop(i.hop1(), i.seeds, i.edges, i.questions).select("query_id", "file_path", F.round("priority", 4).alias("priority"), "place")
+    return A.second_hop(i.hop1(), i.seeds, i.edges, i.questions).select("query_id", "file_path", R.six("priority"), "place")
 
 
 def neighbor_boost(spark, sf: str) -> DataFrame:
     i = _Inputs(spark, sf)
-    return A.neighbor_boosts(i.seeds, i.relevance(), i.edges, i.questions).select("query_id", "file_path", F.round("boost", 4).alias("boost"))
+    return A.neighbor_boosts(i.seeds, i.relevance(), i.edges, i.questions).select("query_id", "file_path", R.six("boost"))
 
 
 def final_score(spark, sf: str) -> DataFrame:
@@ -194,9 +194,9 @@ b as (select source, total, case when total <= 8192 then total when total >= 245
     "passthrough": "select doc_id as chunk_id, 1.0::double as score from documents",
     "max_normalized": HITS + "select query_id, chunk_id, round(score, 6) as score from rel",
     "seed_scores": HITS + "select query_id, file_path, round(seed, 6) as seed, round(norm, 6) as norm from seeds",
-    "expansion_1hop": HITS + "select query_id, file_path, round(priority, 4) as priority, place from hop1",
-    "expansion_2hop": HITS + "select query_id, file_path, round(priority, 4) as priority, place from hop2",
-    "neighbor_boost": HITS + "select query_id, file_path, round(boost, 4) as boost from boosts",
+    "expansion_1hop": HITS + f"select query_id, file_path, {R.six_sql('priority')}, place from hop1",
+    "expansion_2hop": HITS + f"select query_id, file_path, {R.six_sql('priority')}, place from hop2",
+    "neighbor_boost": HITS + f"select query_id, file_path, {R.six_sql('boost')} from boosts",
     "final_score": HITS + _SCORED + "select query_id, chunk_id, round(relevance, 6) as relevance, round(structural, 6) as structural, type_coverage, 0.0::double as cohesion, round(final, 6) as final from scored",
     "module_cohesion": HITS + """, m as (select source as module, path as file_path from paths), pe as (select distinct least(source, target) as a, greatest(source, target) as b from edges where source <> target),
 ie as (select a.module, count(*) as e from pe join m a on a.file_path = pe.a join m b on b.file_path = pe.b where a.module = b.module group by 1), nm as (select module, count(*) as n from m group by 1),

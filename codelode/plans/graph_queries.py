@@ -141,6 +141,8 @@ select node, min(root) as root from c group by 1""",
     "cohesion": _FE + """, m as (select source as module, path as node from paths), p as (select distinct least(source, target) as a, greatest(source, target) as b from edges where source <> target),
 i as (select a.module, count(*) as e from p join m a on a.node = p.a join m b on b.node = p.b where a.module = b.module group by 1), n as (select module, count(*) as n_files from m group by 1)
 select module, n_files, case when n_files < 2 then 1.0::double else round(coalesce(e, 0) / (n_files * (n_files - 1) / 2::double), 4) end as cohesion from n left join i using (module)""",
-    "module_names": """select source as module, case when count(distinct lang) = 1 then min(lang) else source end as name from documents group by source""",
+    "module_names": """with d as (select source, min(source || '/' || lang) as lo, max(source || '/' || lang) as hi from documents group by source),
+p as (select source, regexp_replace(lo[1:list_max(list_filter(range(0, len(lo) + 1), lambda i: lo[1:i] = hi[1:i]))], '/+$', '') as prefix from d)
+select source as module, regexp_extract(prefix, '[^/]*$') as name from p""",
     "dependency_subgraph": _FE + ", c as (select path from paths where lang in ('en', 'de')) select source as node, string_agg(target, ' ' order by target) as imports from edges where source in (select path from c) and target in (select path from c) group by 1",
 }

@@ -6,14 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import word_estimate
-from ..storage import materialize
+from ..storage import materialize, spread
 
 #: Text fields of a chunk that the queries search.
 FIELDS = ["content", "file_path"]
+#: Tables whose rows take long.
+TEXTS = {"documents", "pages", "conversations", "embeddings"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXTS else df
 
 
 def doc_path() -> F.Column:
@@ -89,9 +92,18 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return materialize(df, name)
 
 
+def six(name: str) -> F.Column:
+    """A column to six decimals, by the same operations in both engines; exact halves, which come up, go up even if the last bit differs."""
+    return (F.floor(F.col(name) * 1e6 + 0.5001) / 1e6).alias(name)
+
+
 # the same in DuckDB
 
 
+def six_sql(name: str) -> str:
+    return f"floor({name} * 1e6::double + 0.5001::double) / 1e6::double as {name}"
+
+
 def tok(x: str) -> str:
     return f"regexp_extract_all(lower(coalesce({x}, '')), '[a-z0-9]+')"
 
