@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import analyze_queries, assemble_queries, change_queries, chunk_queries, graph_queries, lexical_queries, text_queries, vector_queries
+from . import analyze_queries, assemble_queries, change_queries, chunk_queries, graph_queries, lexical_queries, store_queries, text_queries, vector_queries
 
-_MODULES = [lexical_queries, text_queries, chunk_queries, vector_queries, graph_queries, assemble_queries, analyze_queries, change_queries]
+_MODULES = [lexical_queries, text_queries, chunk_queries, vector_queries, graph_queries, assemble_queries, analyze_queries, change_queries, store_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
