@@ -192,7 +192,7 @@ def register_parser(language: str, parser: Parser) -> None:
 
 
 def parse(files: DataFrame, strict: bool = False) -> DataFrame:
-    """(path, language, lines, symbols, imports) of files (path, language, content as bytes or text)."""
+    """(path, language, lines, symbols, imports, parse_error) of files (path, language, content as bytes or text); a file that does not parse has neither symbols nor imports."""
     parsers = dict(PARSERS)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -200,17 +200,18 @@ def parse(files: DataFrame, strict: bool = False) -> DataFrame:
             out = []
             for path, language, content in zip(f["path"], f["language"], f["content"]):
                 text = content.decode("utf-8", "replace") if isinstance(content, (bytes, bytearray)) else content or ""
-                symbols, imports = [], []
+                symbols, imports, error = [], [], False
                 if language in parsers:
                     try:
                         symbols, imports = parsers[language](text)
                     except (SyntaxError, ValueError, RecursionError):
+                        error = True
                         if strict:
                             raise
-                out.append((path, language, text.count("\n") + (text != "" and not text.endswith("\n")), symbols, imports))
-            yield pd.DataFrame(out, columns=["path", "language", "lines", "symbols", "imports"])
+                out.append((path, language, text.count("\n") + (text != "" and not text.endswith("\n")), symbols, imports, error))
+            yield pd.DataFrame(out, columns=["path", "language", "lines", "symbols", "imports", "parse_error"])
 
-    return files.select("path", "language", "content").mapInPandas(run, f"path string, language string, lines int, symbols array<struct<{', '.join(x.replace(' ', ':', 1) for x in SYMBOL.split(', '))}>>, imports array<struct<{', '.join(x.replace(' ', ':', 1) for x in IMPORT.split(', '))}>>")
+    return files.select("path", "language", "content").mapInPandas(run, f"path string, language string, lines int, symbols array<struct<{', '.join(x.replace(' ', ':', 1) for x in SYMBOL.split(', '))}>>, imports array<struct<{', '.join(x.replace(' ', ':', 1) for x in IMPORT.split(', '))}>>, parse_error boolean")
 
 
 def symbols(parsed: DataFrame) -> DataFrame:
