@@ -16,6 +16,7 @@ from ..functions.intent import with_weights
 from ..functions.text import directory, is_architecture, is_entry_point, is_test_path, query_terms
 from ..storage import materialize
 from . import fusion, graph
+from .lexical import BROADCAST_TERMS, _small
 
 
 @dataclass(frozen=True)
@@ -146,7 +147,7 @@ def final_scores(candidates: DataFrame, chunks: DataFrame, relevance: DataFrame,
     q = with_weights(questions.select("query_id", "question")).select("query_id", query_terms(F.col("question")).alias("terms"), "w_relevance", "w_structural", "w_type", "w_cohesion")
     x = candidates.select("query_id", "chunk_id", "file_path").join(chunks.select("chunk_id", "symbol_kind", "token_count"), "chunk_id")
     x = x.join(relevance.select("query_id", "chunk_id", "score"), ["query_id", "chunk_id"], "left").join(boosts, ["query_id", "file_path"], "left")
-    x = x.join(centrality.select(F.col("node").alias("file_path"), F.col("rank").alias("pr")), "file_path", "left").join(F.broadcast(q), "query_id")
+    x = x.join(centrality.select(F.col("node").alias("file_path"), F.col("rank").alias("pr")), "file_path", "left").join(_small(q, BROADCAST_TERMS), "query_id")
     x = x.join(cohesion, ["query_id", "file_path"], "left") if cohesion is not None else x.withColumn("cohesion", F.lit(0.0))
     score = F.coalesce("score", F.lit(0.0))
     x = x.withColumns(

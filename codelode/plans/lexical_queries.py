@@ -45,7 +45,7 @@ def path_bonus(spark, sf: str) -> DataFrame:
     """Questions are the paths of one directory each: the bonus is what tells the directories apart."""
     c = R.chunks(spark, sf)
     q = c.select(T.directory(F.col("file_path")).alias("d")).distinct().select(F.col("d").alias("query_id"), F.replace(F.col("d"), F.lit("/"), F.lit(" ")).alias("question"))
-    scored = q.crossJoin(F.broadcast(q.select(F.col("query_id").alias("other")))).select("query_id", F.col("other").alias("chunk_id"), F.concat("other", F.lit("/x.txt")).alias("file_path"), F.lit(1.0).alias("score"))
+    scored = q.crossJoin(L._small(q.select(F.col("query_id").alias("other")), L.BROADCAST_TERMS)).select("query_id", F.col("other").alias("chunk_id"), F.concat("other", F.lit("/x.txt")).alias("file_path"), F.lit(1.0).alias("score"))
     return L.path_bonus(scored, q).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
