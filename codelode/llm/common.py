@@ -5,7 +5,10 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,10 +42,29 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + _OWN["dir"]
 
 
+_SCOPES = threading.local()
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """A list of the tables that this thread writes within; at the end all that are still on it are deleted. For work whose result was itself written."""
+    written: list[str] = []
+    _SCOPES.open = [*getattr(_SCOPES, "open", []), written]
+    try:
+        yield written
+    finally:
+        _SCOPES.open = _SCOPES.open[:-1]
+        for path in written:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it again: computed once, and safe from lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    for written in getattr(_SCOPES, "open", []):
+        written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

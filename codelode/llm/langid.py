@@ -291,7 +291,10 @@ def identify(docs: DataFrame, net: Network | None = None, reject: float = REJECT
 
 
 def keep_accepted(docs: DataFrame, net: Network | None = None, reject: float = REJECT, text: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that identify() accepts. No shuffle."""
+    """The rows of docs, with all their columns, that identify() accepts. No shuffle.
+
+    Rows of null or empty text go, null ids stay, repeated rows fare alike, and an empty table stays empty.
+    """
     net = net or fit(docs)
     at, schema = docs.columns.index(text), docs.schema
 

@@ -481,7 +481,10 @@ def detect(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 
 def redact_documents(docs: DataFrame, model: Model | None = None, text: str = "text", length: str = "n_chars") -> DataFrame:
-    """docs with their texts redacted and, if there is such a column, their lengths in characters renewed. No shuffle."""
+    """docs with their texts redacted and, if there is such a column, their lengths in characters renewed. No shuffle.
+
+    Null, empty and clean texts stay as they are, repeated rows give repeated results, an empty table stays empty, and other columns, whatever their names, are kept.
+    """
     model = model or fitted()
     at, schema = docs.columns.index(text), docs.schema
 

@@ -1,5 +1,5 @@
 import corpus_pipeline as C
-from codelode.llm import langid, mixing, ngram_join, pii
+from codelode.llm import common, langid, mixing, ngram_join, pii
 
 
 def test_stages_take_effect_in_order(spark, tiny):
@@ -41,3 +41,10 @@ def test_stages_take_effect_in_order(spark, tiny):
     assert packed <= {r.doc_id for r in four.collect()} and scheduled <= packed
     assert packed == {d for r in C.run(spark, tiny).collect() for d in r.doc_ids}
     assert ngram_join.N == 3
+
+
+def test_only_the_last_stage_is_left_behind(spark, tiny, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_folder", lambda spark: f"file://{tmp_path}")
+    assert C.run(spark, tiny).count()
+    left = [p.name for p in tmp_path.iterdir()]
+    assert len(left) == 1 and left[0].startswith("stage-packing")
