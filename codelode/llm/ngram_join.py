@@ -1,15 +1,14 @@
 """Operator 2: documents whose word n-gram sets have a Jaccard similarity of at least a threshold, as classes and numbers of links.
 
 Method: a token-group matrix. Documents of equal n-gram sets collapse to one representative. Representatives are
-partitioned into groups by the least hash of their n-grams (a min-hash, so similar documents tend to share a group).
-The matrix holds each group's union of tokens, a token being an n-gram of the document's hash-ordered sample (all
-n-grams of a document of at most SAMPLE; of a longer one those under SAMPLE / n of the hash range, so that any two
-documents are sampled alike up to the lesser bound). A query is every representative. If it is similar to a
-member of a group, more than SKIP of its tokens are in the group's union, so at least one is among the rest after its
-SKIP most frequent ones, for both sides alike: only those tokens are looked up. Groups whose overlap reaches
-the bound are opened and every member is compared on the whole n-gram sets, so reported similarities are exact. Only
-sampling can lose a pair: for documents of at most SAMPLE n-grams nothing is lost; of two longer ones at the very
-threshold, one of them within the other, the bound is missed with a chance of about 0.2 %, and pairs of like lengths practically never.
+partitioned into groups by the least hash of their n-grams (a min-hash, so similar documents tend to share a group) and
+by size. N-grams have one order for all documents: by hash, but those that are frequent in a sample of COMMON_DOCS
+documents come last (which these are changes the work, not the result). Of a document of k n-grams all but the last
+ceil(threshold * k) - 1 are its tokens. Two documents that reach the threshold have a token in common, so every
+document is looked up by all its tokens in the groups' unions of tokens. How many hits a group must have follows from
+the sizes: what two documents have in common is a token of both, or else not a token of the one whose tokens end first.
+Groups that reach this bound are opened and every member is compared on the whole n-gram sets. So no pair is lost, and
+reported similarities are exact.
 
 Groups of more than GROUP documents are divided, and groups that many queries open are compared in parts, so no task
 holds more than GROUP n-gram sets. Comparing a cluster of m different texts still takes m^2 comparisons.
@@ -21,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, materialize, pick
@@ -29,16 +28,19 @@ from .textops import buffers, gram_sets, lists, slices, words
 
 N = 3
 THRESHOLD = 0.6
-SAMPLE = 96
-#: Share of a query's tokens that a group's union must exceed; below the threshold, for the noise of sampling.
-SKIP = 0.45
+#: Documents, at most about twice as many, that tell which n-grams are frequent: those that COMMON_DF of them have, at most COMMON.
+COMMON_DOCS, COMMON_DF, COMMON = 5000, 4, 1 << 20
+#: Representatives up to which they are broadcast (16 bytes each); more are joined by shuffles.
+BROADCAST_ROWS = 2_000_000
+#: Sizes within a group differ by this factor at most.
+SIZES = 1.25
 #: Members of a group; a larger one is divided by hash of the id.
 GROUP = 2048
 
-_SKETCH = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64()), ("grp", pa.int64()), ("sample", pa.list_(pa.int64()))])
+_SKETCH = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64()), ("grp", pa.int64())])
 
 
-def _sketcher(n: int, sample: int):
+def _sketcher(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -56,18 +58,51 @@ def _sketcher(n: int, sample: int):
                 other = np.zeros(len(u) + 1, np.uint64)
                 w = (u ^ np.uint64(0x5851F42D4C957F2D)) * np.uint64(0xC2B2AE3D27D4EB4F)
                 np.cumsum(w ^ (w >> np.uint64(29)), out=other[1:])
-                limit = np.repeat(np.minimum(float(sample) / np.maximum(size, 1), 1.0) * float(1 << 48), size)
-                keep = v < limit
-                keep[at[:-1][has]] = True
-                kept = np.concatenate([[0], np.cumsum(keep)])[at]
-                s = lists(v[keep], np.concatenate([kept[:-1][has], kept[-1:]]), pa.int64())
                 d1 = (total[at[1:]] - total[at[:-1]])[has].view(np.int64)
                 d2 = (other[at[1:]] - other[at[:-1]])[has].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][has], pa.int64()), pa.array(size[has], pa.int32()), pa.array(d1), pa.array(d2), pa.array(v[at[:-1][has]]), s], schema=_SKETCH)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][has], pa.int64()), pa.array(size[has], pa.int32()), pa.array(d1), pa.array(d2), pa.array(v[at[:-1][has]])], schema=_SKETCH)
 
     return run
 
 
+def _grams(n: int, common=None, threshold: float = 0.0):
+    """(doc_id, tokens): a document's n-grams; given the frequent n-grams and their places in the order, only its tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            b, offs = buffers(batch.column(1))
+            for i, j in slices(offs):
+                h, _, _, first = words(b, offs[i : j + 1])
+                v, at = gram_sets(h, first, n)
+                if common is not None:
+                    often, place = common.value
+                    size, order = np.diff(at), v.astype(np.int64)
+                    if len(often):
+                        k = np.minimum(np.searchsorted(often, order), len(often) - 1)
+                        order = np.where(often[k] == order, place[k] + (1 << 48), order)
+                    doc = np.repeat(np.arange(len(size)), size)
+                    v = v[np.lexsort((order, doc))]
+                    keep = np.arange(len(v)) - at[doc] <= (size - np.ceil(threshold * size - 1e-9))[doc]
+                    v, at = v[keep], np.concatenate([[0], np.cumsum(keep)])[at]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j], pa.int64()), lists(v, at, pa.int64())], names=["doc_id", "tokens"])
+
+    return run
+
+
+def _common(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The frequent n-grams of a sample of documents, ascending, and each one's place by frequency. At most COMMON of them come to the driver."""
+    every = max(1, docs.count() // COMMON_DOCS)
+    some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(every)) == 0).mapInArrow(_grams(n), "doc_id long, tokens array<long>")
+    df = some.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") >= COMMON_DF)
+    got = df.orderBy(F.col("df").desc(), "token").limit(COMMON).toArrow()
+    token, df = got["token"].to_numpy(), got["df"].to_numpy()
+    place = np.empty(len(token), np.int64)
+    place[np.lexsort((token, df))] = np.arange(len(token))
+    order = np.argsort(token)
+    return token[order], place[order]
+
+
 class _Members:
     """A group's members: their n-gram sets as one sorted array of (n-gram, member)."""
 
@@ -200,36 +235,40 @@ def _opener(n: int, threshold: float, classes: bool):
     return run
 
 
-def _representatives(docs: DataFrame, n: int, sample: int, group: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, rep) of all documents with words; and the representatives as (doc_id, copies, grp, sample), groups of at most about `group`."""
-    sketch = materialize(docs.mapInArrow(_sketcher(n, sample), "doc_id long, n int, d1 long, d2 long, grp long, sample array<long>"), "sketch")
+def _representatives(docs: DataFrame, n: int, group: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, rep) of all documents with words; and the representatives as (doc_id, n, copies, grp), groups of at most about `group`."""
+    sketch = docs.mapInArrow(_sketcher(n), "doc_id long, n int, d1 long, d2 long, grp long")
+    sketch = materialize(sketch.withColumn("grp", F.xxhash64("grp", F.floor(F.log("n") / F.log(F.lit(SIZES))))), "sketch")
     digest = ["d1", "d2", "n"]
-    reps = sketch.groupBy(*digest).agg(F.min(F.struct("doc_id", "grp", "sample")).alias("x"), F.count_distinct("doc_id").alias("copies")).select(*digest, "x.*", "copies")
+    reps = sketch.groupBy(*digest).agg(F.min(F.struct("doc_id", "grp")).alias("x"), F.count_distinct("doc_id").alias("copies")).select(*digest, "x.*", "copies")
     reps = materialize(reps, "reps")
     # any division into groups is right, so a hot one is divided further
     hot = reps.groupBy("grp").agg(F.count("*").alias("c")).where(F.col("c") > group)
     cut = reps.join(hot, "grp", "left").withColumn("grp", F.when(F.col("c").isNull(), F.col("grp")).otherwise(F.xxhash64("grp", F.expr(f"pmod(xxhash64(doc_id), cast(ceil(c / {group}) as bigint))")))).drop("c")
     of = sketch.select("doc_id", *digest).join(reps.select(F.col("doc_id").alias("rep"), *digest), digest).select("doc_id", "rep").distinct()
-    return of, cut
+    return of, cut.select("doc_id", "n", "copies", "grp")
 
 
-def _compared(docs: DataFrame, reps: DataFrame, n: int, threshold: float, skip: float, group: int, classes: bool) -> DataFrame:
+def _compared(docs: DataFrame, reps: DataFrame, n: int, threshold: float, group: int, classes: bool) -> DataFrame:
     """(doc_a, doc_b, value) as _opener() gives it, of the representatives."""
-    # the matrix: which tokens occur in several groups, and how often a token occurs
-    tokens = reps.select("doc_id", "grp", F.size("sample").alias("k"), F.explode("sample").alias("token"))
-    spread = tokens.groupBy("token").agg(F.count("*").alias("df"), F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi").select("token", "df")
-    shared = materialize(tokens.join(spread, "token").select("token", "df", "doc_id", "grp", "k"), "tokens")
-    # look up, of a document's k tokens, all but the floor(skip * k) most frequent; tokens of one group come first
-    ranked = shared.groupBy("doc_id", "grp", "k").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
-    least = F.expr(f"k - cast(floor({skip} * k) as int) - (k - size(t))")
-    looked = ranked.where(least > 0).select("doc_id", "grp", F.explode(F.slice("t", F.lit(1), least)).alias("t")).select("doc_id", "grp", F.col("t.token").alias("token"))
-    looked = materialize(looked, "looked")
-    index = looked.select("token", F.col("grp").alias("g")).distinct()
-    found = looked.join(index, "token").where("grp < g").select("doc_id", "g").distinct()
-    # the bound: more than skip * k of the query's tokens in the group's union
-    union = shared.select(F.col("grp").alias("g"), "token").distinct()
-    hits = found.join(shared.select("doc_id", "token", "k"), "doc_id").join(union, ["g", "token"]).groupBy("doc_id", "g").agg(F.count("*").alias("hits"), F.first("k").alias("k"))
-    opened = materialize(hits.where(F.col("hits") > F.floor(F.lit(skip) * F.col("k"))).select("doc_id", F.col("g").alias("grp")), "opened")
+    # the matrix: tokens that occur in several groups
+    common = docs.sparkSession.sparkContext.broadcast(_common(docs, n))
+    hint = F.broadcast if reps.count() <= BROADCAST_ROWS else lambda x: x
+    tokens = docs.mapInArrow(_grams(n, common, threshold), "doc_id long, tokens array<long>").join(hint(reps.select("doc_id", "grp")), "doc_id")
+    tokens = tokens.select("doc_id", "grp", F.explode("tokens").alias("token"))
+    by = Window.partitionBy("token")
+    shared = tokens.withColumns({"lo": F.min("grp").over(by), "hi": F.max("grp").over(by)}).where("lo <> hi").select("token", "doc_id", "grp")
+    # rows that repeat an id count once
+    shared = materialize(shared.distinct(), "tokens")
+    index = shared.select("token", F.col("grp").alias("g")).distinct()
+    hits = shared.join(index, "token").where("grp < g").groupBy("doc_id", "g").agg(F.count("*").alias("hits"))
+    # the bound: a document of n n-grams and a member of b have t / (1 + t) * (n + b) in common or more, and fewer than t * n or t * b of them are no tokens
+    t = threshold
+    sizes = reps.groupBy(F.col("grp").alias("g")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    hits = hits.join(reps.select("doc_id", "n"), "doc_id").join(sizes, "g").where(f"most >= {t} * n - 1e-6 and {t} * least <= n + 1e-6")
+    own = f"{t / (1 + t)} * (n + greatest(least, {t} * n)) - {t} * n"
+    other = f"{t / (1 + t)} * (n + least(most, n / {t})) - {t} * least(most, n / {t})"
+    opened = materialize(hits.where(f"hits >= least({own}, {other}) - 1e-6").select("doc_id", F.col("g").alias("grp")), "opened")
 
     # a group that many queries open is compared in parts, each with all its members
     parts = opened.groupBy("grp").agg(F.ceil(F.count("*") / (4 * group)).cast("int").alias("parts"))
@@ -247,7 +286,7 @@ def _read(docs: DataFrame) -> DataFrame:
     return pick(docs, doc_id="long", text="string").where("doc_id is not null and text is not null")
 
 
-def ngram_jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, sample: int = SAMPLE, skip: float = SKIP, group: int = GROUP) -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, group: int = GROUP) -> DataFrame:
     """(doc_a, doc_b, jaccard) with doc_a < doc_b.
 
     Documents of equal n-gram sets: their least id is the representative, and each other one has one row with it, of
@@ -258,21 +297,21 @@ def ngram_jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD
     Rows are as many as the pairs: near_duplicate_classes() tells as much of each document in one row.
     """
     docs = _read(docs)
-    of, reps = _representatives(docs, n, sample, group)
+    of, reps = _representatives(docs, n, group)
     copies = of.where("doc_id <> rep").select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
-    return _compared(docs, reps, n, threshold, skip, group, classes=False).withColumnRenamed("value", "jaccard").unionByName(copies)
+    return _compared(docs, reps, n, threshold, group, classes=False).withColumnRenamed("value", "jaccard").unionByName(copies)
 
 
-def near_duplicate_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, sample: int = SAMPLE, skip: float = SKIP, group: int = GROUP) -> DataFrame:
+def near_duplicate_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, group: int = GROUP) -> DataFrame:
     """(doc_id, class_id, links), one row for each document with words.
 
     links is the number of other documents, copies among them, that reach the threshold; classes are what links
     connect, named by their least doc_id. Nulls, texts without words and repeated rows are as in ngram_jaccard_join().
     """
     docs = _read(docs)
-    of, reps = _representatives(docs, n, sample, group)
+    of, reps = _representatives(docs, n, group)
     of, reps = materialize(of, "copies"), materialize(reps, "groups")
-    got = materialize(_compared(docs, reps, n, threshold, skip, group, classes=True), "compared")
+    got = materialize(_compared(docs, reps, n, threshold, group, classes=True), "compared")
     near = got.where("doc_b is null").groupBy(F.col("doc_a").alias("rep")).agg(F.sum("value").cast("long").alias("near"))
     root = components(got.where("doc_b is not null").select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))).select(F.col("node").alias("rep"), "root")
     # of a class, the least representative is its least document
@@ -280,14 +319,14 @@ def near_duplicate_classes(docs: DataFrame, n: int = N, threshold: float = THRES
     return out.select("doc_id", F.coalesce("root", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("links"))
 
 
-def near_duplicate_groups(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, sample: int = SAMPLE, skip: float = SKIP) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, keeper): connected groups of the join's pairs, each with its least doc_id; ungrouped documents are absent."""
-    return near_duplicate_classes(docs, n, threshold, sample, skip).where("links > 0").select("doc_id", F.col("class_id").alias("keeper"))
+    return near_duplicate_classes(docs, n, threshold).where("links > 0").select("doc_id", F.col("class_id").alias("keeper"))
 
 
-def drop_near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, sample: int = SAMPLE, skip: float = SKIP) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, of each group of near duplicates only those of its least doc_id. Documents that join nothing stay, null ids too; rows that repeat a kept id all stay."""
-    lose = near_duplicate_groups(docs, n, threshold, sample, skip).where("doc_id <> keeper").select(F.col("doc_id").alias("_lost"))
+    lose = near_duplicate_groups(docs, n, threshold).where("doc_id <> keeper").select(F.col("doc_id").alias("_lost"))
     plain = docs.toDF(*[f"_{k}" for k in range(len(docs.columns))])
     return plain.join(lose, plain[f"_{docs.columns.index('doc_id')}"] == lose["_lost"], "left_anti").toDF(*docs.columns)
 

@@ -118,3 +118,24 @@ def test_extra_columns_that_clash(spark):
     out = N.drop_near_duplicates(df)
     assert out.columns == df.columns
     assert sorted(tuple(r)[2] for r in out.collect()) == [6, 6, 7, 9]
+
+
+def test_long_pairs_at_the_very_threshold(spark):
+    # 150 n-grams within 250; a sample of some 96 of them misses pairs 726 and 3870
+    import corpus_pipeline
+
+    docs = []
+    for k in (1, 2, 726, 3870):
+        rng = random.Random(k)
+        w = [f"w{rng.randrange(10**6)}" for _ in range(252)]
+        docs += [(2 * k, " ".join(w[:152])), (2 * k + 1, " ".join(w))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert got(N.ngram_jaccard_join(df)) == {(2 * k, 2 * k + 1, 0.6) for k in (1, 2, 726, 3870)}
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()) == [2, 4, 1452, 7740]
+
+
+def test_long_documents_lose_nothing(spark):
+    docs = corpus([110, 200, 300, 500, 900] * 4, seed=8)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert got(N.ngram_jaccard_join(df)) == brute(docs)
+    assert {tuple(r) for r in N.near_duplicate_classes(df, group=4).collect()} == classes(docs)
