@@ -29,7 +29,7 @@ from .textops import buffers, gram_sets, lists, slices, words
 N = 3
 THRESHOLD = 0.6
 #: Documents, at most about twice as many, that tell which n-grams are frequent: those that COMMON_DF of them have, at most COMMON.
-COMMON_DOCS, COMMON_DF, COMMON = 5000, 4, 1 << 20
+COMMON_DOCS, COMMON_DF, COMMON = 20000, 4, 1 << 20
 #: Representatives up to which they are broadcast (16 bytes each); more are joined by shuffles.
 BROADCAST_ROWS = 2_000_000
 #: Sizes within a group differ by this factor at most.
@@ -260,12 +260,13 @@ def _compared(docs: DataFrame, reps: DataFrame, n: int, threshold: float, group:
     shared = tokens.withColumns({"lo": F.min("grp").over(by), "hi": F.max("grp").over(by)}).where("lo <> hi").select("token", "doc_id", "grp")
     # rows that repeat an id count once
     shared = materialize(shared.distinct(), "tokens")
-    index = shared.select("token", F.col("grp").alias("g")).distinct()
-    hits = shared.join(index, "token").where("grp < g").groupBy("doc_id", "g").agg(F.count("*").alias("hits"))
-    # the bound: a document of n n-grams and a member of b have t / (1 + t) * (n + b) in common or more, and fewer than t * n or t * b of them are no tokens
+    # groups whose sizes rule out every member are left out before anything is counted
     t = threshold
     sizes = reps.groupBy(F.col("grp").alias("g")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    hits = hits.join(reps.select("doc_id", "n"), "doc_id").join(sizes, "g").where(f"most >= {t} * n - 1e-6 and {t} * least <= n + 1e-6")
+    index = shared.select("token", F.col("grp").alias("g")).distinct().join(hint(sizes), "g")
+    hits = shared.join(hint(reps.select("doc_id", "n")), "doc_id").join(index, "token").where(f"grp < g and most >= {t} * n - 1e-6 and {t} * least <= n + 1e-6")
+    hits = hits.groupBy("doc_id", "g").agg(F.count("*").alias("hits"), F.first("n").alias("n"), F.first("least").alias("least"), F.first("most").alias("most"))
+    # the bound: a document of n n-grams and a member of b have t / (1 + t) * (n + b) in common or more, and fewer than t * n or t * b of them are no tokens
     own = f"{t / (1 + t)} * (n + greatest(least, {t} * n)) - {t} * n"
     other = f"{t / (1 + t)} * (n + least(most, n / {t})) - {t} * least(most, n / {t})"
     opened = materialize(hits.where(f"hits >= least({own}, {other}) - 1e-6").select("doc_id", F.col("g").alias("grp")), "opened")
