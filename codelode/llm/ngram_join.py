@@ -10,8 +10,9 @@ the sizes: what two documents have in common is a token of both, or else not a t
 Groups that reach this bound are opened and every member is compared on the whole n-gram sets. So no pair is lost, and
 reported similarities are exact.
 
-Groups of more than GROUP documents are divided, and groups that many queries open are compared in parts, so no task
-holds more than GROUP n-gram sets. Comparing a cluster of m different texts still takes m^2 comparisons.
+Groups of more than GROUP documents are divided. Groups that open each other are put into one cell, so that a text is sent
+to a cell once, however many of its groups are compared with it; cells of more than about GROUP documents are divided, and those that many
+queries open are compared in parts, so no task holds more than about twice GROUP n-gram sets. Comparing a cluster of m different texts still takes m^2 comparisons.
 """
 
 from __future__ import annotations
@@ -152,23 +153,26 @@ _LINKS = pa.schema([("doc_a", pa.int64()), ("doc_b", pa.int64()), ("value", pa.f
 
 
 def _opener(n: int, threshold: float, classes: bool):
-    """Compares, within each (grp, part), its queries with the group's members, and in part 0 the members among themselves.
+    """Compares, within each (cell, part), documents with the members of the groups that they open, and members with others of their own group.
 
-    Rows come sorted by group and part, members first; they are at most GROUP, and queries pass by one at a time. Rows out are the pairs with their
+    Rows come sorted by cell and part, members first; queries pass by one at a time. A row has the document's own group and those
+    it opens here; a member that is held for others only has null for these. Rows out are the pairs with their
     similarity; or, for classes, edges that connect what the pairs connect (value null), and numbers of links by document (doc_b null).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, group, forest = None, ([], [], []), None, None
+        key, held, group, forest, grps = None, ([], [], [], [], []), None, None, None
         links: np.ndarray | None = None
         out: list[tuple] = []
 
-        def compare(doc: int, copies: int, x: np.ndarray, among: int | None = None) -> None:
+        def compare(doc: int, copies: int, x: np.ndarray, opens: list[int], among: int | None = None) -> None:
             k, j = group.similar(x, threshold)
+            if not len(k):
+                return
+            meet = np.isin(grps[k], np.array(opens, np.int64)) & (group.ids[k] != doc)
             if among is not None:
-                k, j = k[k > among], j[k > among]
-            else:
-                k, j = k[group.ids[k] != doc], j[group.ids[k] != doc]
+                meet |= (grps[k] == grps[among]) & (k > among)
+            k, j = k[meet], j[meet]
             if not len(k):
                 return
             if not classes:
@@ -183,12 +187,13 @@ def _opener(n: int, threshold: float, classes: bool):
             out.extend((doc, m, None) for m in group.ids[k].tolist() if forest.joins(doc, m))
 
         def begin() -> None:
-            """All members are here: those of part 0 meet each other."""
-            nonlocal group, links, forest
-            group, links, forest = _Members(*held), np.zeros(len(held[0]), np.int64), _Forest()
-            if key[1] == 0:
-                for i in range(len(group.ids)):
-                    compare(int(group.ids[i]), int(group.copies[i]), group.sets[i], i)
+            """All members are here: they meet each other."""
+            nonlocal group, links, forest, grps
+            group, links, forest = _Members(*held[:3]), np.zeros(len(held[0]), np.int64), _Forest()
+            grps = np.array(held[3], np.int64)
+            for i, opens in enumerate(held[4]):
+                if opens is not None:
+                    compare(int(group.ids[i]), int(group.copies[i]), group.sets[i], opens, i)
 
         def end() -> None:
             nonlocal group
@@ -204,20 +209,20 @@ def _opener(n: int, threshold: float, classes: bool):
             return pa.RecordBatch.from_arrays(cols, schema=_LINKS)
 
         for batch in batches:
-            grp, part, doc, copies, member = (batch.column(k).to_numpy(zero_copy_only=False).tolist() for k in range(5))
-            b, offs = buffers(batch.column(5))
+            cell, part, doc, copies, member, own, opens = (batch.column(k).to_pylist() for k in range(7))
+            b, offs = buffers(batch.column(7))
             for i, j in slices(offs):
                 h, _, _, first = words(b, offs[i : j + 1])
                 v, at = gram_sets(h, first, n)
                 for r in range(j - i):
-                    if (grp[i + r], part[i + r]) != key:
+                    if (cell[i + r], part[i + r]) != key:
                         end()
-                        key, held = (grp[i + r], part[i + r]), ([], [], [])
+                        key, held = (cell[i + r], part[i + r]), ([], [], [], [], [])
                     x = v[at[r] : at[r + 1]]
                     if member[i + r]:
                         # a repeated row of an id counts once
                         if not held[0] or held[0][-1] != doc[i + r]:
-                            for into, y in zip(held, (doc[i + r], copies[i + r], x.copy())):
+                            for into, y in zip(held, (doc[i + r], copies[i + r], x.copy(), own[i + r], opens[i + r])):
                                 into.append(y)
                     else:
                         if group is None:
@@ -225,7 +230,7 @@ def _opener(n: int, threshold: float, classes: bool):
                             last = None
                         if doc[i + r] != last:
                             last = doc[i + r]
-                            compare(last, copies[i + r], x)
+                            compare(last, copies[i + r], x, opens[i + r])
                     if len(out) > 100_000:
                         yield flush()
         end()
@@ -271,16 +276,41 @@ def _compared(docs: DataFrame, reps: DataFrame, n: int, threshold: float, group:
     other = f"{t / (1 + t)} * (n + least(most, n / {t})) - {t} * least(most, n / {t})"
     opened = materialize(hits.where(f"hits >= least({own}, {other}) - 1e-6").select("doc_id", F.col("g").alias("grp")), "opened")
 
-    # a group that many queries open is compared in parts, each with all its members
-    parts = opened.groupBy("grp").agg(F.ceil(F.count("*") / (4 * group)).cast("int").alias("parts"))
-    busy = reps.groupBy("grp").agg(F.count("*").alias("c")).join(parts, "grp", "left").where("c > 1 or parts is not null").select("grp", F.coalesce("parts", F.lit(1)).alias("parts"))
     of = reps.select("doc_id", "copies", "grp")
-    members = of.join(busy, "grp").select("doc_id", "copies", "grp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("member"))
-    queries = opened.join(of.select("doc_id", "copies"), "doc_id").join(parts, "grp").select("doc_id", "copies", "grp", F.expr("cast(pmod(xxhash64(doc_id, 7), parts) as int)").alias("part"), F.lit(False).alias("member"))
+    return _sets(docs, of, opened, group).mapInArrow(_opener(n, threshold, classes), "doc_a long, doc_b long, value double")
+
+
+def _cells(of: DataFrame, opened: DataFrame, group: int) -> DataFrame:
+    """(grp, cell) of the groups with something to compare. Any division is right; groups take, twice, the least label of those that they open or that open them, which brings the groups of a cluster together."""
+    edges = opened.join(of.select("doc_id", F.col("grp").alias("own")), "doc_id").select(F.col("own").alias("a"), F.col("grp").alias("b")).distinct()
+    edges = materialize(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
+    label = edges.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label"))
+    label = edges.join(label.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("label").alias("label"))
+    size = of.groupBy("grp").agg(F.count("*").alias("c"))
+    known = size.join(label.withColumnRenamed("a", "grp"), "grp", "left").where("c > 1 or label is not null").withColumn("label", F.coalesce("label", "grp"))
+    known = materialize(known, "labels")
+    whole = known.groupBy("label").agg(F.ceil(F.sum("c") / group).alias("pieces"))
+    return materialize(known.join(whole, "label").select("grp", F.xxhash64("label", F.pmod(F.xxhash64("grp", F.lit(3)), F.col("pieces"))).alias("cell")), "cells")
+
+
+def _sets(docs: DataFrame, of: DataFrame, opened: DataFrame, group: int) -> DataFrame:
+    """(cell, part, doc_id, copies, member, grp, opens, text) as _opener() takes them. A text is sent once to each cell where it is a member or opens groups; members of cells in parts to every part."""
+    cells = _cells(of, opened, group)
+    hint = F.broadcast if cells.count() <= BROADCAST_ROWS else lambda x: x
+    asks = opened.join(hint(cells), "grp").groupBy("doc_id", "cell").agg(F.collect_set("grp").alias("opens"))
+    home = of.join(hint(cells), "grp").select("doc_id", "cell", "copies", "grp")
+    both = home.select("doc_id", "cell", F.lit(True).alias("member")).join(asks, ["doc_id", "cell"], "full").join(of, "doc_id")
+    both = materialize(both.select("doc_id", "cell", F.coalesce("member", F.lit(False)).alias("member"), "copies", "grp", F.coalesce("opens", F.expr("array()").cast("array<long>")).alias("opens")), "asks")
+    # a cell that many queries open is compared in parts, each with all its members
+    parts = both.where("not member").groupBy("cell").agg(F.ceil(F.count("*") / (4 * group)).cast("int").alias("parts")).where("parts > 1")
+    both = both.join(parts, "cell", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("its", F.expr("cast(pmod(xxhash64(doc_id, 7), parts) as int)"))
+    each = F.when(F.col("member"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("its"))
+    rows = both.withColumn("part", F.explode(each)).select("cell", "part", "doc_id", "copies", "member", "grp", F.when(F.col("part") == F.col("its"), F.col("opens")).alias("opens"))
+    rows = materialize(rows, "compare")
+    few = F.broadcast if rows.count() <= BROADCAST_ROWS // 4 else lambda x: x
     # a document's texts are equal in n-grams if its id repeats: any one of them serves as the representative's
-    texts = docs.join(members.unionByName(queries), "doc_id").select("grp", "part", "doc_id", "copies", "member", "text")
-    sets = texts.repartition("grp", "part").sortWithinPartitions("grp", "part", F.col("member").desc(), "doc_id")
-    return sets.mapInArrow(_opener(n, threshold, classes), "doc_a long, doc_b long, value double")
+    texts = docs.join(few(rows), "doc_id").select("cell", "part", "doc_id", "copies", "member", "grp", "opens", "text")
+    return texts.repartition("cell", "part").sortWithinPartitions("cell", "part", F.col("member").desc(), "doc_id")
 
 
 def _read(docs: DataFrame) -> DataFrame:

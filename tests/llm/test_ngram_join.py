@@ -139,3 +139,31 @@ def test_long_documents_lose_nothing(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert got(N.ngram_jaccard_join(df)) == brute(docs)
     assert {tuple(r) for r in N.near_duplicate_classes(df, group=4).collect()} == classes(docs)
+
+
+def test_a_cluster_sends_each_text_once(spark):
+    # 120 different texts, each near to each other, of many least n-grams and so of many groups
+    rng = random.Random(21)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    docs = []
+    for k in range(120):
+        x = base[:]
+        for _ in range(4):
+            x[rng.randrange(150)] = f"v{rng.randrange(10**6)}"
+        docs.append((k, " ".join(x)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    sent = []
+    whole = N._sets
+
+    def spied(*args):
+        sent.append(whole(*args).count())
+        return whole(*args)
+
+    N._sets = spied
+    try:
+        assert {tuple(r) for r in N.near_duplicate_classes(df).collect()} == classes(docs)
+        assert {tuple(r) for r in N.near_duplicate_classes(df, group=3).collect()} == classes(docs)
+    finally:
+        N._sets = whole
+    # before: once for each of the groups that it opens
+    assert sent[0] == 120 < sent[1]
