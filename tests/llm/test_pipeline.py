@@ -48,3 +48,17 @@ def test_only_the_last_stage_is_left_behind(spark, tiny, tmp_path, monkeypatch):
     assert C.run(spark, tiny).count()
     left = [p.name for p in tmp_path.iterdir()]
     assert len(left) == 1 and left[0].startswith("stage-packing")
+
+
+def test_packing_writes_as_many_tables_however_often_it_searches(spark, monkeypatch):
+    # plans and tables of each search were kept by the driver; lists of one filler make it search again and again
+    from codelode.llm import packing
+
+    written = []
+    monkeypatch.setattr(packing, "materialize", lambda df, name: written.append(name) or common.materialize(df, name))
+    docs = [(k, " ".join(f"t{k % 3}w{j}" for j in range(k % 11, k % 11 + 8))) for k in range(100, 160)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    out = packing.pack(df, window=200, depth=1, passes=1).collect()
+    assert sorted(d for r in out for d in r.doc_ids) == [d for d, _ in docs]
+    assert len(next(r for r in out if r.doc_ids[0] == 100).doc_ids) > 15
+    assert written.count("index") == 1 and len(written) < 10
