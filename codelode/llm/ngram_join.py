@@ -7,8 +7,10 @@ documents come last (which these are changes the work, not the result). Of a doc
 ceil(threshold * k) - 1 are its tokens. Two documents that reach the threshold have a token in common, so every
 document is looked up by all its tokens in the groups' unions of tokens. How many hits a group must have follows from
 the sizes: what two documents have in common is a token of both, or else not a token of the one whose tokens end first.
-Groups that reach this bound are opened and every member is compared on the whole n-gram sets. So no pair is lost, and
-reported similarities are exact.
+Groups that reach this bound are opened. Their members are first screened by bitmaps: a document's has, for each remainder
+of its n-grams' hashes, whether their number is odd, in 2 to 4 bits an n-gram. What is in one of two documents only is at least as much as the bits
+that differ, which bounds what they have in common from above; so only texts that may reach the threshold with
+another one are sent, and those are compared on the whole n-gram sets. So no pair is lost, and reported similarities are exact.
 
 Groups of more than GROUP documents are divided. Groups that open each other are put into one cell, so that a text is sent
 to a cell once, however many of its groups are compared with it; cells of more than about GROUP documents are divided, and those that many
@@ -38,7 +40,20 @@ SIZES = 1.25
 #: Members of a group; a larger one is divided by hash of the id.
 GROUP = 2048
 
-_SKETCH = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64()), ("grp", pa.int64())])
+#: Words of 64 bits of the smallest bitmap.
+LEAST_WORDS = 2
+
+_SKETCH = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64()), ("grp", pa.int64()), ("bits", pa.binary())])
+
+
+def _bitmaps(v: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Of each document with n-grams, the parities of the numbers of its n-grams by remainder. A bitmap has a power of two of bits, at least 2 for each n-gram."""
+    has = size[size > 0]
+    wide = np.maximum(LEAST_WORDS * 64, 1 << np.ceil(np.log2(2 * has)).astype(np.int64))
+    at = np.concatenate([[0], np.cumsum(wide)])
+    odd = np.bincount(np.repeat(at[:-1], has) + (v & (np.repeat(wide, has) - 1)), minlength=at[-1]) & 1
+    data = np.packbits(odd.astype(np.uint8), bitorder="little")
+    return pa.Array.from_buffers(pa.binary(), len(has), [None, pa.py_buffer((at // 8).astype(np.int32)), pa.py_buffer(data)])
 
 
 def _sketcher(n: int):
@@ -61,7 +76,7 @@ def _sketcher(n: int):
                 np.cumsum(w ^ (w >> np.uint64(29)), out=other[1:])
                 d1 = (total[at[1:]] - total[at[:-1]])[has].view(np.int64)
                 d2 = (other[at[1:]] - other[at[:-1]])[has].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][has], pa.int64()), pa.array(size[has], pa.int32()), pa.array(d1), pa.array(d2), pa.array(v[at[:-1][has]])], schema=_SKETCH)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][has], pa.int64()), pa.array(size[has], pa.int32()), pa.array(d1), pa.array(d2), pa.array(v[at[:-1][has]]), _bitmaps(v, size)], schema=_SKETCH)
 
     return run
 
@@ -129,6 +144,104 @@ class _Members:
         return k, j[k]
 
 
+class _Screen:
+    """A cell's members by their bitmaps, which tell of most pairs that they don't reach the threshold."""
+
+    def __init__(self, ids: list[int], n: list[int], grps: list[int], bits: list[bytes], threshold: float):
+        self.ids, self.n, self.threshold = np.array(ids, np.int64), np.array(n, np.int64), threshold
+        own = [np.frombuffer(x, np.uint64) for x in bits]
+        self.words = np.array([len(x) for x in own], np.int64)
+        names, which = np.unique(np.array(grps, np.int64), return_inverse=True)
+        order = np.argsort(which, kind="stable")
+        self.of = dict(zip(names.tolist(), np.split(order, np.cumsum(np.bincount(which))[:-1])))
+        # bitmaps of different sizes are compared at the smaller one; sizes that may reach the threshold are so many halves apart at most
+        self.halves = int(np.ceil(-np.log2(threshold)))
+        folded: dict[int, list[tuple[int, np.ndarray]]] = {}
+        for k, x in enumerate(own):
+            for half in range(self.halves + 1):
+                if (w := len(x) >> half) >= LEAST_WORDS:
+                    folded.setdefault(w, []).append((k, np.bitwise_xor.reduce(x.reshape(-1, w), axis=0)))
+        self.at = {}
+        for w, rows in folded.items():
+            row = np.full(len(own), -1)
+            row[[k for k, _ in rows]] = np.arange(len(rows))
+            self.at[w] = row, np.array([x for _, x in rows])
+
+    def may(self, doc: int, n: int, bits: bytes, groups: list[int]) -> np.ndarray:
+        """Members of the groups, other than the document itself, that may reach the threshold with it."""
+        k = np.concatenate([np.zeros(0, np.int64), *(self.of[g] for g in groups if g in self.of)])
+        t = self.threshold
+        k = k[(self.ids[k] != doc) & (self.n[k] >= t * n - 1e-6) & (t * self.n[k] <= n + 1e-6)]
+        x, found = np.frombuffer(bits, np.uint64), []
+        for half in range(self.halves + 1):
+            w = len(x)
+            at = k[self.words[k] == w] if half else k[self.words[k] >= w]
+            if len(at):
+                row, rows = self.at[w]
+                apart = np.bitwise_count(rows[row[at]] ^ x).sum(axis=1, dtype=np.int64)
+                both = n + self.n[at]
+                found.append(at[(both - apart) / 2 >= t / (1 + t) * both - 1e-6])
+            if w == LEAST_WORDS:
+                break
+            x = x[: w // 2] ^ x[w // 2 :]
+        return np.concatenate(found) if found else k[:0]
+
+
+def _screener(threshold: float):
+    """(cell, part, doc_id) of the documents that may reach the threshold with another one of (cell, part), of those that _opener() compares there. Rows come sorted as it takes them, with bitmaps for texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, screen, near = None, ([], [], [], [], []), None, None
+        out: list[tuple] = []
+
+        def begin() -> None:
+            nonlocal screen, near
+            screen, near = _Screen(*held[:4], threshold), np.zeros(len(held[0]), bool)
+            for i, (doc, n, grp, bits, opens) in enumerate(zip(*held)):
+                if opens is not None and len(k := screen.may(doc, n, bits, [grp, *opens])):
+                    near[k] = near[i] = True
+
+        def end() -> None:
+            nonlocal screen
+            if key is not None and screen is None:
+                begin()
+            if screen is not None:
+                out.extend((*key, doc) for doc in screen.ids[near].tolist())
+            screen = None
+
+        def flush() -> pa.RecordBatch:
+            cols = [pa.array(c, kind) for c, kind in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64()))]
+            out.clear()
+            return pa.RecordBatch.from_arrays(cols, names=["cell", "part", "doc_id"])
+
+        for batch in batches:
+            for cell, part, doc, n, member, grp, opens, bits in zip(*(batch.column(k).to_pylist() for k in range(8))):
+                if (cell, part) != key:
+                    end()
+                    key, held = (cell, part), ([], [], [], [], [])
+                if member:
+                    # a repeated row of an id counts once
+                    if not held[0] or held[0][-1] != doc:
+                        for into, y in zip(held, (doc, n, grp, bits, opens)):
+                            into.append(y)
+                else:
+                    if screen is None:
+                        begin()
+                        last = None
+                    if doc != last:
+                        last = doc
+                        if len(k := screen.may(doc, n, bits, opens)):
+                            near[k] = True
+                            out.append((cell, part, doc))
+            if len(out) > 100_000:
+                yield flush()
+        end()
+        if out:
+            yield flush()
+
+    return run
+
+
 class _Forest:
     """Which edges connect what was not connected yet."""
 
@@ -240,9 +353,9 @@ def _opener(n: int, threshold: float, classes: bool):
     return run
 
 
-def _representatives(docs: DataFrame, n: int, group: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, rep) of all documents with words; and the representatives as (doc_id, n, copies, grp), groups of at most about `group`."""
-    sketch = docs.mapInArrow(_sketcher(n), "doc_id long, n int, d1 long, d2 long, grp long")
+def _representatives(docs: DataFrame, n: int, group: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, rep) of all documents with words; the representatives as (doc_id, n, copies, grp), groups of at most about `group`; and (doc_id, n, bits) of all documents with words."""
+    sketch = docs.mapInArrow(_sketcher(n), "doc_id long, n int, d1 long, d2 long, grp long, bits binary")
     sketch = materialize(sketch.withColumn("grp", F.xxhash64("grp", F.floor(F.log("n") / F.log(F.lit(SIZES))))), "sketch")
     digest = ["d1", "d2", "n"]
     reps = sketch.groupBy(*digest).agg(F.min(F.struct("doc_id", "grp")).alias("x"), F.count_distinct("doc_id").alias("copies")).select(*digest, "x.*", "copies")
@@ -251,10 +364,10 @@ def _representatives(docs: DataFrame, n: int, group: int) -> tuple[DataFrame, Da
     hot = reps.groupBy("grp").agg(F.count("*").alias("c")).where(F.col("c") > group)
     cut = reps.join(hot, "grp", "left").withColumn("grp", F.when(F.col("c").isNull(), F.col("grp")).otherwise(F.xxhash64("grp", F.expr(f"pmod(xxhash64(doc_id), cast(ceil(c / {group}) as bigint))")))).drop("c")
     of = sketch.select("doc_id", *digest).join(reps.select(F.col("doc_id").alias("rep"), *digest), digest).select("doc_id", "rep").distinct()
-    return of, cut.select("doc_id", "n", "copies", "grp")
+    return of, cut.select("doc_id", "n", "copies", "grp"), sketch.select("doc_id", "n", "bits")
 
 
-def _compared(docs: DataFrame, reps: DataFrame, n: int, threshold: float, group: int, classes: bool) -> DataFrame:
+def _compared(docs: DataFrame, reps: DataFrame, bits: DataFrame, n: int, threshold: float, group: int, classes: bool) -> DataFrame:
     """(doc_a, doc_b, value) as _opener() gives it, of the representatives."""
     # the matrix: tokens that occur in several groups
     common = docs.sparkSession.sparkContext.broadcast(_common(docs, n))
@@ -268,6 +381,8 @@ def _compared(docs: DataFrame, reps: DataFrame, n: int, threshold: float, group:
     # groups whose sizes rule out every member are left out before anything is counted
     t = threshold
     sizes = reps.groupBy(F.col("grp").alias("g")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    # by token from the start, so that the index is shuffled once for being distinct and joined
+    shared = shared.repartition("token")
     index = shared.select("token", F.col("grp").alias("g")).distinct().join(hint(sizes), "g")
     hits = shared.join(hint(reps.select("doc_id", "n")), "doc_id").join(index, "token").where(f"grp < g and most >= {t} * n - 1e-6 and {t} * least <= n + 1e-6")
     hits = hits.groupBy("doc_id", "g").agg(F.count("*").alias("hits"), F.first("n").alias("n"), F.first("least").alias("least"), F.first("most").alias("most"))
@@ -277,7 +392,7 @@ def _compared(docs: DataFrame, reps: DataFrame, n: int, threshold: float, group:
     opened = materialize(hits.where(f"hits >= least({own}, {other}) - 1e-6").select("doc_id", F.col("g").alias("grp")), "opened")
 
     of = reps.select("doc_id", "copies", "grp")
-    return _sets(docs, of, opened, group).mapInArrow(_opener(n, threshold, classes), "doc_a long, doc_b long, value double")
+    return _sets(docs, of, opened, bits, threshold, group).mapInArrow(_opener(n, threshold, classes), "doc_a long, doc_b long, value double")
 
 
 def _cells(of: DataFrame, opened: DataFrame, group: int) -> DataFrame:
@@ -293,8 +408,8 @@ def _cells(of: DataFrame, opened: DataFrame, group: int) -> DataFrame:
     return materialize(known.join(whole, "label").select("grp", F.xxhash64("label", F.pmod(F.xxhash64("grp", F.lit(3)), F.col("pieces"))).alias("cell")), "cells")
 
 
-def _sets(docs: DataFrame, of: DataFrame, opened: DataFrame, group: int) -> DataFrame:
-    """(cell, part, doc_id, copies, member, grp, opens, text) as _opener() takes them. A text is sent once to each cell where it is a member or opens groups; members of cells in parts to every part."""
+def _sets(docs: DataFrame, of: DataFrame, opened: DataFrame, bits: DataFrame, threshold: float, group: int) -> DataFrame:
+    """(cell, part, doc_id, copies, member, grp, opens, text) as _opener() takes them. A text is sent once to each cell where it is a member or opens groups, members of cells in parts to every part, but only where the bitmaps leave something to compare it with."""
     cells = _cells(of, opened, group)
     hint = F.broadcast if cells.count() <= BROADCAST_ROWS else lambda x: x
     asks = opened.join(hint(cells), "grp").groupBy("doc_id", "cell").agg(F.collect_set("grp").alias("opens"))
@@ -308,6 +423,10 @@ def _sets(docs: DataFrame, of: DataFrame, opened: DataFrame, group: int) -> Data
     rows = both.withColumn("part", F.explode(each)).select("cell", "part", "doc_id", "copies", "member", "grp", F.when(F.col("part") == F.col("its"), F.col("opens")).alias("opens"))
     rows = materialize(rows, "compare")
     few = F.broadcast if rows.count() <= BROADCAST_ROWS // 4 else lambda x: x
+    maps = bits.join(few(rows), "doc_id").select("cell", "part", "doc_id", "n", "member", "grp", "opens", "bits")
+    near = maps.repartition("cell", "part").sortWithinPartitions("cell", "part", F.col("member").desc(), "doc_id").mapInArrow(_screener(threshold), "cell long, part int, doc_id long")
+    rows = materialize(rows.join(near, ["cell", "part", "doc_id"], "left_semi"), "near")
+    few = F.broadcast if rows.count() <= BROADCAST_ROWS // 4 else lambda x: x
     # a document's texts are equal in n-grams if its id repeats: any one of them serves as the representative's
     texts = docs.join(few(rows), "doc_id").select("cell", "part", "doc_id", "copies", "member", "grp", "opens", "text")
     return texts.repartition("cell", "part").sortWithinPartitions("cell", "part", F.col("member").desc(), "doc_id")
@@ -328,9 +447,9 @@ def ngram_jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD
     Rows are as many as the pairs: near_duplicate_classes() tells as much of each document in one row.
     """
     docs = _read(docs)
-    of, reps = _representatives(docs, n, group)
+    of, reps, bits = _representatives(docs, n, group)
     copies = of.where("doc_id <> rep").select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
-    return _compared(docs, reps, n, threshold, group, classes=False).withColumnRenamed("value", "jaccard").unionByName(copies)
+    return _compared(docs, reps, bits, n, threshold, group, classes=False).withColumnRenamed("value", "jaccard").unionByName(copies)
 
 
 def near_duplicate_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, group: int = GROUP) -> DataFrame:
@@ -340,9 +459,9 @@ def near_duplicate_classes(docs: DataFrame, n: int = N, threshold: float = THRES
     connect, named by their least doc_id. Nulls, texts without words and repeated rows are as in ngram_jaccard_join().
     """
     docs = _read(docs)
-    of, reps = _representatives(docs, n, group)
+    of, reps, bits = _representatives(docs, n, group)
     of, reps = materialize(of, "copies"), materialize(reps, "groups")
-    got = materialize(_compared(docs, reps, n, threshold, group, classes=True), "compared")
+    got = materialize(_compared(docs, reps, bits, n, threshold, group, classes=True), "compared")
     near = got.where("doc_b is null").groupBy(F.col("doc_a").alias("rep")).agg(F.sum("value").cast("long").alias("near"))
     root = components(got.where("doc_b is not null").select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))).select(F.col("node").alias("rep"), "root")
     # of a class, the least representative is its least document

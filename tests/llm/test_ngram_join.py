@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from helpers import assert_same
 
 from codelode.llm import ngram_join as N
@@ -167,3 +168,50 @@ def test_a_cluster_sends_each_text_once(spark):
         N._sets = whole
     # before: once for each of the groups that it opens
     assert sent[0] == 120 < sent[1]
+
+
+def passages():
+    """60 pairs of texts of 40 and 64 words that have a passage of 10 words in common, and one pair of near copies."""
+    rng = random.Random(5)
+    docs = []
+    for k in range(60):
+        a, b = ([f"w{rng.randrange(10**6)}" for _ in range(size)] for size in (40, 64))
+        b[20:30] = a[10:20]
+        docs += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+    return [*docs, (500, docs[7][1] + " end"), (501, docs[8][1][:-1])]
+
+
+def test_texts_that_share_a_passage_are_not_sent(spark):
+    docs, sent, whole = passages(), [], N._sets
+
+    def spied(*args):
+        got = whole(*args)
+        sent.append(got.count())
+        return got
+
+    N._sets = spied
+    try:
+        assert {tuple(r) for r in N.near_duplicate_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()} == classes(docs)
+    finally:
+        N._sets = whole
+    # before: every text that opens a group, or whose group is opened
+    assert sent == [4]
+
+
+def test_bitmaps_lose_no_pair():
+    rng = np.random.default_rng(6)
+    for threshold in (0.3, 0.5, 0.6, 0.95):
+        sets = []
+        for size in (1, 3, 31, 32, 33, 63, 64, 65, 100, 129, 250, 1000):
+            base = rng.integers(0, 1 << 48, size)
+            sets += [base, *(np.unique(np.concatenate([base[: max(1, int(size * part))], rng.integers(0, 1 << 48, new)])) for part in (0.3, 0.6, 0.8, 1) for new in (0, 1, size // 4, size))]
+        bits = N._bitmaps(np.concatenate(sets), np.array([len(x) for x in sets])).to_pylist()
+        screen = N._Screen(list(range(len(sets))), [len(x) for x in sets], [k % 3 for k in range(len(sets))], bits, threshold)
+        left = 0
+        for a, x in enumerate(sets):
+            got = screen.may(a, len(x), bits[a], [0, 2, 7]).tolist()
+            want = {b for b, y in enumerate(sets) if b != a and b % 3 != 1 and len(c := np.intersect1d(x, y)) / (len(x) + len(y) - len(c)) >= threshold}
+            assert want <= set(got) and len(got) == len(set(got))
+            left += len(got) - len(want)
+        # most of the others are told apart; at low thresholds bitmaps of this size tell little
+        assert threshold < 0.6 or left < 0.05 * len(sets) ** 2
