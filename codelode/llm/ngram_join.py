@@ -477,8 +477,11 @@ def near_duplicate_groups(docs: DataFrame, n: int = N, threshold: float = THRESH
 def drop_near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, of each group of near duplicates only those of its least doc_id. Documents that join nothing stay, null ids too; rows that repeat a kept id all stay."""
     lose = near_duplicate_groups(docs, n, threshold).where("doc_id <> keeper").select(F.col("doc_id").alias("_lost"))
+    # texts stay where they are while the ids to leave out are few enough to be sent to them
+    lose = materialize(lose, "lost")
+    hint = F.broadcast if lose.count() <= BROADCAST_ROWS else lambda x: x
     plain = docs.toDF(*[f"_{k}" for k in range(len(docs.columns))])
-    return plain.join(lose, plain[f"_{docs.columns.index('doc_id')}"] == lose["_lost"], "left_anti").toDF(*docs.columns)
+    return plain.join(hint(lose), plain[f"_{docs.columns.index('doc_id')}"] == lose["_lost"], "left_anti").toDF(*docs.columns)
 
 
 def _sql(n: int = N, threshold: float = THRESHOLD) -> str:

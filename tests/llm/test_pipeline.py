@@ -50,6 +50,19 @@ def test_only_the_last_stage_is_left_behind(spark, tiny, tmp_path, monkeypatch):
     assert len(left) == 1 and left[0].startswith("stage-packing")
 
 
+def test_near_duplicates_leaves_texts_where_they_are(spark):
+    docs = [(k, " ".join(f"w{k % 20}x{j}" for j in range(40))) for k in range(30)] + [(None, "a null id stays"), (3, "a null id stays")]
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = C.near_duplicates(spark, spark.createDataFrame(docs, "doc_id long, text string"), "")
+        assert sorted(str(r.doc_id) for r in out.collect()) == sorted([*map(str, range(20)), "3", "None"])
+        # before: all texts were shuffled to leave out ten ids
+        assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
 def test_packing_writes_as_many_tables_however_often_it_searches(spark, monkeypatch):
     # plans and tables of each search were kept by the driver; lists of one filler make it search again and again
     from codelode.llm import packing
