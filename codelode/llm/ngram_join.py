@@ -2,7 +2,7 @@
 
 Method: a token-group matrix. Documents of equal n-gram sets collapse to one representative. Representatives are
 partitioned into groups by the least hash of their n-grams (a min-hash, so similar documents tend to share a group) and
-by size. N-grams have one order for all documents: by hash, but those that are frequent in a sample of COMMON_DOCS
+by size. N-grams have one order for all documents: by hash, but those that are frequent in a sample of the
 documents come last (which these are changes the work, not the result). Of a document of k n-grams all but the last
 ceil(threshold * k) - 1 are its tokens. Two documents that reach the threshold have a token in common, so every
 document is looked up by all its tokens in the groups' unions of tokens. How many hits a group must have follows from
@@ -31,8 +31,9 @@ from .textops import buffers, gram_sets, lists, slices, words
 
 N = 3
 THRESHOLD = 0.6
-#: Documents, at most about twice as many, that tell which n-grams are frequent: those that COMMON_DF of them have, at most COMMON.
-COMMON_DOCS, COMMON_DF, COMMON = 20000, 4, 1 << 20
+#: Documents that tell which n-grams are frequent: COMMON_DOCS of them, at most about twice as many, but one in COMMON_SHARE at least, as in a fixed
+#: number of documents the least frequency that shows grows with the input. Those that COMMON_DF of the sample have, at most COMMON.
+COMMON_DOCS, COMMON_SHARE, COMMON_DF, COMMON = 20000, 4, 4, 1 << 22
 #: Representatives up to which they are broadcast (16 bytes each); more are joined by shuffles.
 BROADCAST_ROWS = 2_000_000
 #: Sizes within a group differ by this factor at most.
@@ -107,11 +108,18 @@ def _grams(n: int, common=None, threshold: float = 0.0):
 
 
 def _common(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The frequent n-grams of a sample of documents, ascending, and each one's place by frequency. At most COMMON of them come to the driver."""
-    every = max(1, docs.count() // COMMON_DOCS)
+    """The frequent n-grams of a sample of documents, ascending, and each one's place by frequency. At most COMMON of them come to the driver, the most frequent ones."""
+    every = min(COMMON_SHARE, max(1, docs.count() // COMMON_DOCS))
     some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(every)) == 0).mapInArrow(_grams(n), "doc_id long, tokens array<long>")
-    df = some.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") >= COMMON_DF)
-    got = df.orderBy(F.col("df").desc(), "token").limit(COMMON).toArrow()
+    df = materialize(some.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") >= COMMON_DF), "common")
+    # a least frequency that leaves COMMON of them, so that nothing is sorted on the way to the driver
+    least, held = COMMON_DF, 0
+    for row in df.groupBy("df").agg(F.count("*").alias("n")).orderBy(F.col("df").desc()).toLocalIterator():
+        held += row.n
+        if held > COMMON:
+            least = row.df + 1
+            break
+    got = df.where(F.col("df") >= least).toArrow()
     token, df = got["token"].to_numpy(), got["df"].to_numpy()
     place = np.empty(len(token), np.int64)
     place[np.lexsort((token, df))] = np.arange(len(token))

@@ -215,3 +215,13 @@ def test_bitmaps_lose_no_pair():
             left += len(got) - len(want)
         # most of the others are told apart; at low thresholds bitmaps of this size tell little
         assert threshold < 0.6 or left < 0.05 * len(sets) ** 2
+
+
+def test_frequent_ngrams_show_in_an_input_of_any_size(spark, monkeypatch):
+    # 60 of 4000 documents share an n-gram; a sample of about 100 of them has it once or twice, too seldom to tell
+    monkeypatch.setattr(N, "COMMON_DOCS", 100)
+    rows = [(k, f"w{k} v{k} u{k} " + ("one two three " if k % 67 == 0 else f"x{k} y{k} z{k} ")) for k in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len(N._common(docs, 3)[0]) == 1
+    monkeypatch.setattr(N, "COMMON", 0)
+    assert len(N._common(docs, 3)[0]) == 0
