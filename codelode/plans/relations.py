@@ -97,6 +97,13 @@ def six(name: str) -> F.Column:
     return (F.floor(F.col(name) * 1e6 + 0.5001) / 1e6).alias(name)
 
 
+def to_six(x: F.Column) -> F.Column:
+    """x to six decimals by the operations of SQL's round: halves away from zero, of the product, and what rounds to zero keeps its sign."""
+    y = F.abs(x * 1e6)
+    whole = F.rint(y)
+    return (whole + F.when(y - whole == 0.5, 1.0).otherwise(0.0)) * F.signum(x) / 1e6
+
+
 # the same in DuckDB
 
 

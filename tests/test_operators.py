@@ -111,3 +111,31 @@ def test_greedy_pack_skips_and_stops(spark):
     r = spark.createDataFrame([(1, 10, 10.0, 5), (1, 11, 9.0, 6), (1, 12, 8.0, 4), (1, 13, 2.0, 1)], "query_id long, chunk_id long, final double, token_count long")
     b = spark.createDataFrame([(1, 10)], "query_id long, budget long")
     assert [x.chunk_id for x in assemble.greedy_pack(r, b).orderBy("place").collect()] == [10, 12]
+
+
+def test_six_decimals_as_in_sql(spark, tmp_path):
+    import duckdb
+
+    from codelode.plans import relations as R
+
+    xs = [-1e-8, 1e-8, -0.0, 0.0, 0.1234565, -0.1234565, 2.5e-6, -2.5e-6, 0.07532, 1.0000005, -3.25]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select(R.to_six(F.col("x"))).collect()
+    want = duckdb.connect().sql("select round(x, 6) from (values " + ", ".join(f"({k}, {x!r}::double)" for k, x in enumerate(xs)) + ") t(k, x) order by k").fetchall()
+    assert [repr(r[0]) for r in got] == [repr(r[0]) for r in want]
+
+
+def test_phrases_that_follow_directly_are_found_as_in_sql(spark, tmp_path):
+    from helpers import sql_rows
+
+    import shutil
+
+    from codelode.plans import lexical_queries as Q
+
+    for t in "region nation customer supplier part orders lineitem events embeddings pages labels conversations".split():
+        shutil.copy(f"/root/testdata/sf0.001/{t}.parquet", tmp_path)
+    texts = ["a b a b a b", "a b, x a b a b", "x x x x", "b a b a", "a a b b", "a b a b x a b"]
+    spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").toPandas().to_parquet(tmp_path / "documents.parquet")
+    spark.createDataFrame([(0, "a b"), (1, "x"), (2, "b a b")], "item_id long, text string").toPandas().to_parquet(tmp_path / "benchmark.parquet")
+    got = sorted((r.query_id, r.chunk_id, r.hits) for r in Q.phrase_match(spark, str(tmp_path)).collect())
+    rows, cols = sql_rows(Q.SQL["phrase_match"], str(tmp_path))
+    assert got == sorted((r[cols.index("query_id")], r[cols.index("chunk_id")], r[cols.index("hits")]) for r in rows)
