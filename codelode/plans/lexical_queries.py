@@ -52,8 +52,7 @@ def path_bonus(spark, sf: str) -> DataFrame:
 def phrase_match(spark, sf: str) -> DataFrame:
     """How often each question, whole, occurs in each document, word for word."""
     phrases = R.questions(spark, sf).select("query_id", F.array_join(T.tokens(F.col("question")), " ").alias("term"))
-    found = L.matches(R.chunks(spark, sf), phrases, ["content"])
-    return found.join(phrases, "term").select("query_id", "chunk_id", F.col("f_content").cast("long").alias("hits"))
+    return L.phrase_counts(R.chunks(spark, sf), phrases, "content").join(phrases, "term").select("query_id", "chunk_id", "hits")
 
 
 def dynamic_topk(spark, sf: str) -> DataFrame:
