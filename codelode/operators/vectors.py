@@ -10,8 +10,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors by block of the exact search.
-BLOCK = 2048
+from ..storage import materialize
+
+#: Vectors by block of the exact search, and blocks that a task holds.
+BLOCK, HELD = 2048, 64
+#: Groups up to which their sizes are broadcast.
+BROADCAST_GROUPS = 1_000_000
 FLOOR = 1e-9
 
 
@@ -26,42 +30,97 @@ def normalize(v: Column) -> Column:
 
 
 def _blocks(v: DataFrame, prefix: str, block: int) -> DataFrame:
-    n = max(1, -(-v.count() // block))
-    return v.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias(f"{prefix}_block")).agg(F.collect_list("id").alias(f"{prefix}_ids"), F.flatten(F.collect_list("v")).alias(f"{prefix}_v"), F.max(F.size("v")).alias(f"{prefix}_dim"))
+    """v (g, id, v) in rows of about `block` vectors of one g and one dimension."""
+    v = v.where("size(v) > 0")
+    size = v.groupBy("g").agg(F.ceil(F.count("*") / block).alias("n"))
+    at = v.join(F.broadcast(size) if size.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS else size, "g").withColumn("b", F.expr("pmod(xxhash64(id), n)"))
+    return at.groupBy(F.col("g").alias(f"{prefix}_g"), F.size("v").alias(f"{prefix}_dim"), F.col("b").alias(f"{prefix}_block")).agg(F.collect_list("id").alias(f"{prefix}_ids"), F.flatten(F.collect_list("v")).alias(f"{prefix}_v"))
+
 
+def _block_top(k: int, same: bool, positive: bool):
+    """Rows pair a block of queries with one of vectors. While the block of queries stays, a score counts only if it may come before the k best so far."""
 
-def _block_top(k: int, same: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = qi = q = least = best = None
+
+        def out() -> pa.RecordBatch:
+            row, ids, score = best
+            return pa.RecordBatch.from_arrays([pa.array(qi[row]), pa.array(ids), pa.array(score)], names=["query_id", "id", "score"])
+
         for batch in batches:
-            cols = {n: batch.column(batch.schema.get_field_index(n)) for n in ("q_ids", "q_v", "q_dim", "d_ids", "d_v")}
+            cols = {n: batch.column(batch.schema.get_field_index(n)) for n in ("q_g", "q_block", "q_ids", "q_v", "q_dim", "d_ids", "d_v")}
             for r in range(batch.num_rows):
                 dim = cols["q_dim"][r].as_py()
-                q, d = (cols[c][r].values.to_numpy().reshape(-1, dim) for c in ("q_v", "d_v"))
-                qi, di = (cols[c][r].values.to_numpy() for c in ("q_ids", "d_ids"))
-                s = np.round(q @ d.T, 6)
-                s[s <= 0] = -np.inf
+                if (now := (cols["q_g"][r].as_py(), cols["q_block"][r].as_py(), dim)) != key:
+                    if key is not None:
+                        yield out()
+                    key = now
+                    qi, q = cols["q_ids"][r].values.to_numpy(), cols["q_v"][r].values.to_numpy().reshape(-1, dim)
+                    least = None
+                    best = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+                di, d = cols["d_ids"][r].values.to_numpy(), cols["d_v"][r].values.to_numpy().reshape(-1, dim)
+                s = q @ d.T
+                if least is None:
+                    # the first block sets a bound: the k-th of its scores, which rounding may move
+                    x = np.where(np.isnan(s), -np.inf, s)
+                    if same:
+                        x[qi[:, None] == di[None, :]] = -np.inf
+                    least = np.partition(x, -k, axis=1)[:, -k] - 1e-6 if x.shape[1] >= k else np.full(len(qi), -np.inf)
+                    if positive:
+                        least = np.maximum(least, 0)
+                row, col = np.nonzero(s >= least[:, None])
                 if same:
-                    s[qi[:, None] == di[None, :]] = -np.inf
+                    other = qi[row] != di[col]
+                    row, col = row[other], col[other]
+                # to six decimals, halves away from zero
+                y = np.abs(s[row, col]) * 1e6
+                whole = np.rint(y)
+                score = np.copysign((whole + (y - whole == 0.5)) / 1e6, s[row, col])
+                if positive:
+                    up = score > 0
+                    row, col, score = row[up], col[up], score[up]
+                row, ids, score = np.concatenate([best[0], row]), np.concatenate([best[1], di[col]]), np.concatenate([best[2], score])
                 # equal scores go by id, so the order is by both
-                o = np.lexsort((np.broadcast_to(di, s.shape), -s), axis=1)[:, :k]
-                got = np.take_along_axis(s, o, 1)
-                row, col = np.nonzero(got > -np.inf)
-                yield pa.RecordBatch.from_arrays([pa.array(qi[row]), pa.array(di[o[row, col]]), pa.array(got[row, col])], names=["query_id", "id", "score"])
+                o = np.lexsort((ids, -score, row))
+                row, ids, score = row[o], ids[o], score[o]
+                place = np.arange(len(row)) - np.searchsorted(row, row)
+                last = place == k - 1
+                least[row[last]] = np.maximum(least[row[last]], score[last] - 1e-6)
+                best = row[place < k], ids[place < k], score[place < k]
+        if key is not None:
+            yield out()
 
     return run
 
 
+def _top(vectors: DataFrame, queries: DataFrame, k: int, skip_same: bool, positive: bool, block: int) -> DataFrame:
+    """(query_id, id, score, rank): the k best vectors of its own g for every query; both (g, id, v)."""
+    spark = vectors.sparkSession
+    prep = lambda x: x.select("g", F.col("id").cast("long"), F.col("v").cast("array<double>"))
+    d, q = materialize(_blocks(prep(vectors), "d", block), "blocks"), materialize(_blocks(prep(queries), "q", block), "queries")
+    n_d, n_q = max(1, d.count()), max(1, q.count())
+    # tasks hold HELD blocks of vectors and pass blocks of queries by them, each one's pairs in a row
+    d, q = d.repartition(-(-n_d // HELD)), q.repartition(max(1, min(n_q, 4 * spark.sparkContext.defaultParallelism)))
+    # no equality that a join could gather one g's blocks in one task for
+    near = q.crossJoin(d).where("q_dim <= d_dim and q_dim >= d_dim and q_g <= d_g and q_g >= d_g").select("q_g", "q_block", "q_ids", "q_v", "q_dim", "d_ids", "d_v").mapInArrow(_block_top(k, skip_same, positive), "query_id long, id long, score double")
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
+    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 30, skip_same: bool = False, block: int = BLOCK) -> DataFrame:
     """(query_id, id, score, rank): the k rows of highest positive dot product, to six decimals, for every query.
 
     vectors and queries: id (long), v (array). Blocks of queries meet blocks of vectors, each pair is one matrix product
-    that keeps k a query, and the rest is a merge; what is shuffled is the product of the two numbers of blocks.
+    of which only scores that come before the k best so far are looked at; the rest is a merge. Work is the product of both numbers.
     """
-    prep = lambda x: x.select(F.col("id").cast("long"), F.col("v").cast("array<double>"))
-    d, q = _blocks(prep(vectors), "d", block), _blocks(prep(queries), "q", block)
-    near = q.crossJoin(d).where("q_dim = d_dim").select("q_ids", "q_v", "q_dim", "d_ids", "d_v").mapInArrow(_block_top(k, skip_same), "query_id long, id long, score double")
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
-    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    one = lambda x: x.select(F.lit("").alias("g"), "id", "v")
+    return _top(one(vectors), one(queries), k, skip_same, True, block)
+
+
+def rerank_within(vectors: DataFrame, k: int = 50, block: int = BLOCK) -> DataFrame:
+    """rerank() of all vectors (g, id, v) against all others of the same g, by blocks: no pair of candidates is written down."""
+    unit = vectors.select("g", "id", normalize(F.col("v")).alias("v")).where("g is not null")
+    return _top(unit, unit, k, True, False, block)
 
 
 def rerank(candidates: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 50) -> DataFrame:
