@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import materialize
+from .lexical import BROADCAST_TERMS, _small
 
 DIMENSIONS = {
     "api_surface": "api endpoint route handler controller view resource",
@@ -47,7 +48,8 @@ def _any(methods: str, words: str) -> Column:
 
 def middleware_chain(c: DataFrame) -> DataFrame:
     full = _any("methods", "set_next next") & _any("methods", "process handle")
-    x = c.withColumn("full", full).withColumn("chain", F.max("full").over(Window.partitionBy("file_path")))
+    chain = c.groupBy("file_path").agg(F.max(full).alias("chain"))
+    x = c.withColumn("full", full).join(_small(chain, BROADCAST_TERMS), "file_path")
     part = _any("methods", "process handle") & (_named(F.col("name"), "middleware handler chain filter interceptor") | F.col("chain"))
     return x.where(F.col("full") | part).select("file_path", "name", F.when(F.col("full"), "chain").otherwise("participant").alias("role"))
 
@@ -76,18 +78,22 @@ def strategy(c: DataFrame) -> DataFrame:
     own = F.filter("all_methods", lambda m: ~(m.startswith("__") & m.endswith("__")))
     c = c.withColumn("own", own)
     public = F.filter("methods", lambda m: ~(m.startswith("__") & m.endswith("__")))
-    shared = c.select("file_path", "name", F.explode(public).alias("m")).groupBy("file_path", "m").agg(F.collect_set("name").alias("names")).where(F.size("names") >= 2).groupBy("file_path").agg(F.array_distinct(F.flatten(F.collect_list("names"))).alias("sharing"))
-    x = c.join(shared, "file_path")
+    # rows, not lists: a file may have any number of classes
+    uses = c.select("file_path", "name", F.explode(public).alias("m")).distinct()
+    shared = materialize(uses.groupBy("file_path", "m").agg(F.count("name").alias("n")).where("n >= 2").select("file_path", "m"), "shared")
+    sharing = uses.join(_small(shared, BROADCAST_TERMS), ["file_path", "m"], "left_semi").select("file_path", "name").distinct().withColumn("shares", F.lit(True))
+    x = c.join(_small(shared.select("file_path").distinct(), BROADCAST_TERMS), "file_path", "left_semi").join(sharing, ["file_path", "name"], "left")
     context = _named(F.col("name"), "context executor runner engine sorter dispatcher") & (F.size("own") >= 1)
     protocol = _named(F.col("name"), "strategy policy algorithm interface protocol") & (F.size("own") <= 3)
-    role = F.when(context, "context").when(protocol, "protocol").when(F.array_contains("sharing", F.col("name")), "concrete")
-    x = x.withColumn("role", role)
-    w = Window.partitionBy("file_path")
-    has = lambda r: F.max(F.coalesce(F.col("role") == r, F.lit(False))).over(w)
-    x = x.withColumns({"p": has("protocol"), "k": has("concrete"), "c": has("context"), "pm": F.flatten(F.collect_set(F.when(F.col("role") == "protocol", F.col("own"))).over(w))})
+    role = F.when(context, "context").when(protocol, "protocol").when(F.col("shares"), "concrete")
+    x = materialize(x.select("file_path", "name", "methods", "own", role.alias("role")), "roles")
+    has = lambda r: F.max(F.coalesce(F.col("role") == r, F.lit(False)))
+    names = x.where("role = 'protocol'").select("file_path", F.explode("own").alias("m")).distinct().groupBy("file_path").agg(F.collect_list("m").alias("pm"))
+    files = x.groupBy("file_path").agg(has("protocol").alias("p"), has("concrete").alias("k"), has("context").alias("c")).join(names, "file_path", "left")
+    x = x.join(_small(files, BROADCAST_TERMS), "file_path")
     late = F.col("role").isNull() & F.col("p") & ~F.col("k") & F.arrays_overlap("methods", "pm")
-    x = x.withColumn("role", F.when(late, "concrete").otherwise(F.col("role")))
-    x = x.withColumn("k", F.max(F.coalesce(F.col("role") == "concrete", F.lit(False))).over(w))
+    x = x.withColumn("role", F.when(late, "concrete").otherwise(F.col("role"))).drop("k")
+    x = x.join(_small(x.groupBy("file_path").agg(has("concrete").alias("k")), BROADCAST_TERMS), "file_path")
     return x.where("role is not null and k and (p or c)").select("file_path", "name", "role")
 
 
