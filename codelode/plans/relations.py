@@ -97,6 +97,13 @@ def six(name: str) -> F.Column:
     return (F.floor(F.col(name) * 1e6 + 0.5001) / 1e6).alias(name)
 
 
+def few(df: DataFrame) -> DataFrame:
+    """A table of a few rows a question, written, and sent to what it is joined with."""
+    from ..operators.lexical import BROADCAST_TERMS, _small
+
+    return _small(saved(df, "few"), BROADCAST_TERMS)
+
+
 def to_six(x: F.Column) -> F.Column:
     """x to six decimals by the operations of SQL's round: halves away from zero, of the product, and what rounds to zero keeps its sign."""
     y = F.abs(x * 1e6)
