@@ -10,6 +10,8 @@ from ..storage import components, materialize
 
 #: Paths of a directory that are paired with as many others in one go.
 PAIRED = 4096
+#: Sources of edges up to which their ranks are broadcast.
+BROADCAST_SOURCES = 1_000_000
 
 
 def dedupe(edges: DataFrame, order: str | None = None) -> DataFrame:
@@ -99,7 +101,8 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 100, tolerance
     restart (node, weight) gives the nodes where a walk begins again; those outside the graph don't count, and if none is
     in it there are no rows. Without it every node is as likely. Mass of nodes without targets is spread like restarts.
     """
-    e = materialize(edges.select("source", "target").distinct(), "edges")
+    # by target, so that a round sums up flows where the edges are
+    e = materialize(edges.select("source", "target").distinct().repartition("target"), "edges")
     all_nodes = nodes_of(e) if nodes is None else nodes.select("node").union(nodes_of(e)).distinct()
     out = e.groupBy("source").agg(F.count("*").alias("out")).withColumnRenamed("source", "node")
     base = all_nodes.join(out, "node", "left")
@@ -117,8 +120,10 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 100, tolerance
     ranks = base.withColumn("rank", F.lit(1.0 / n if n else 0.0))
     loose = F.sum(F.when(F.col("out").isNull(), F.col("rank")).otherwise(0.0))
     mass = ranks.agg(loose).first()[0] or 0.0
+    # few sources go to the edges, which then stay where they are in all rounds
+    hint = F.broadcast if base.where("out is not null").limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES else lambda x: x
     for _ in range(rounds if n else 0):
-        flow = ranks.where("out is not null").select(F.col("node").alias("source"), (F.col("rank") / F.col("out")).alias("f")).join(e, "source").groupBy(F.col("target").alias("node")).agg(F.sum("f").alias("f"))
+        flow = hint(ranks.where("out is not null").select(F.col("node").alias("source"), (F.col("rank") / F.col("out")).alias("f"))).join(e, "source").groupBy(F.col("target").alias("node")).agg(F.sum("f").alias("f"))
         new = alpha * (F.coalesce("f", F.lit(0.0)) + F.lit(float(mass)) * F.col("p")) + (1 - alpha) * F.col("p")
         ranks = materialize(ranks.withColumnRenamed("rank", "was").drop("f").join(flow, "node", "left").select("node", "out", "p", new.alias("rank"), "was"), "ranks")
         change, mass = ranks.agg(F.sum(F.abs(F.col("rank") - F.col("was"))), loose).first()
