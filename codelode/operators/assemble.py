@@ -116,7 +116,7 @@ def second_hop(hop1: DataFrame, seeds: DataFrame, edges: DataFrame, questions: D
 
 def file_chunks(files: DataFrame, chunks: DataFrame, found: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(query_id, chunk_id, file_path): the first chunks, in order of id, of the files (query_id, file_path) that are not found yet."""
-    c = files.select("query_id", "file_path").join(chunks.select("chunk_id", "file_path"), "file_path").join(found.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
+    c = _small(materialize(files.select("query_id", "file_path"), "files"), BROADCAST_TERMS).join(chunks.select("chunk_id", "file_path"), "file_path").join(found.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
     w = Window.partitionBy("query_id", "file_path").orderBy("chunk_id")
     return c.withColumn("r", F.row_number().over(w)).where(F.col("r") <= s.chunks_per_file).select("query_id", "chunk_id", "file_path")
 
@@ -145,7 +145,7 @@ def module_cohesion(candidates: DataFrame, modules: DataFrame) -> DataFrame:
 def final_scores(candidates: DataFrame, chunks: DataFrame, relevance: DataFrame, boosts: DataFrame, centrality: DataFrame, questions: DataFrame, cohesion: DataFrame | None = None, s: Settings = Settings()) -> DataFrame:
     """(query_id, chunk_id, file_path, token_count, relevance, structural, type_coverage, cohesion, final)."""
     q = with_weights(questions.select("query_id", "question")).select("query_id", query_terms(F.col("question")).alias("terms"), "w_relevance", "w_structural", "w_type", "w_cohesion")
-    x = candidates.select("query_id", "chunk_id", "file_path").join(chunks.select("chunk_id", "symbol_kind", "token_count"), "chunk_id")
+    x = _small(materialize(candidates.select("query_id", "chunk_id", "file_path"), "candidates"), BROADCAST_TERMS).join(chunks.select("chunk_id", "symbol_kind", "token_count"), "chunk_id")
     x = x.join(relevance.select("query_id", "chunk_id", "score"), ["query_id", "chunk_id"], "left").join(boosts, ["query_id", "file_path"], "left")
     x = x.join(centrality.select(F.col("node").alias("file_path"), F.col("rank").alias("pr")), "file_path", "left").join(_small(q, BROADCAST_TERMS), "query_id")
     x = x.join(cohesion, ["query_id", "file_path"], "left") if cohesion is not None else x.withColumn("cohesion", F.lit(0.0))

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import materialize
+from .lexical import BROADCAST_TERMS, _small
+
 
 def bundles(packed: DataFrame, chunks: DataFrame) -> DataFrame:
     """(query_id, items): array of (place, file_path, content, score), in order, of packed (query_id, place, chunk_id, final)."""
-    x = packed.select("query_id", "place", "chunk_id", F.col("final").alias("score")).join(chunks.select("chunk_id", "file_path", "content"), "chunk_id")
+    # few against the chunks, whose texts stay where they are
+    x = _small(materialize(packed.select("query_id", "place", "chunk_id", F.col("final").alias("score")), "packed"), BROADCAST_TERMS).join(chunks.select("chunk_id", "file_path", "content"), "chunk_id")
     return x.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", "file_path", "content", "score"))).alias("items"))
 
 

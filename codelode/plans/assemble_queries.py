@@ -21,7 +21,7 @@ class _Inputs:
 
     def __init__(self, spark, sf: str):
         self.chunks, self.questions, self.edges = R.chunks(spark, sf), R.questions(spark, sf), R.saved(R.file_edges(spark, sf), "edges")
-        self.hits = R.saved(LQ.bm25_topk(spark, sf).join(self.chunks.select("chunk_id", "file_path"), "chunk_id"), "hits")
+        self.hits = R.saved(R.few(LQ.bm25_topk(spark, sf)).join(self.chunks.select("chunk_id", "file_path"), "chunk_id"), "hits")
         self.seeds = R.saved(A.seed_scores(self.hits), "seeds")
 
     def hop1(self) -> DataFrame:
@@ -96,8 +96,11 @@ def file_cut(spark, sf: str) -> DataFrame:
 
 def greedy_pack(spark, sf: str) -> DataFrame:
     """Hits by score under the budget."""
-    i = _Inputs(spark, sf)
-    ranked = i.hits.join(i.chunks.select("chunk_id", "token_count"), "chunk_id").select("query_id", "chunk_id", F.col("score").alias("final"), "token_count")
+    return _packed_hits(_Inputs(spark, sf))
+
+
+def _packed_hits(i: _Inputs) -> DataFrame:
+    ranked = R.few(i.hits).join(i.chunks.select("chunk_id", "token_count"), "chunk_id").select("query_id", "chunk_id", F.col("score").alias("final"), "token_count")
     return A.greedy_pack(ranked, i.questions)
 
 
@@ -120,7 +123,7 @@ def assemble_context_fused(spark, sf: str) -> DataFrame:
 def render_bundles(spark, sf: str) -> DataFrame:
     """Each question's hits under the budget, as Markdown and XML."""
     i = _Inputs(spark, sf)
-    packed = greedy_pack(spark, sf).join(i.hits.select("query_id", "chunk_id", F.col("score").alias("final")), ["query_id", "chunk_id"])
+    packed = _packed_hits(i).join(i.hits.select("query_id", "chunk_id", F.col("score").alias("final")), ["query_id", "chunk_id"])
     return N.bundles(packed, i.chunks).select("query_id", N.as_markdown(F.col("items")).alias("markdown"), N.as_xml(F.col("items")).alias("xml"))
 
 

@@ -72,8 +72,8 @@ def trace_summary(spark, sf: str) -> DataFrame:
 def _judged(spark, sf: str) -> tuple[DataFrame, DataFrame]:
     """Ranked files of every benchmark item by BM25, and the files that hold its whole text."""
     paths = R.chunks(spark, sf).select("chunk_id", "file_path")
-    ranked = LQ.bm25_topk(spark, sf).join(paths, "chunk_id").select(F.col("query_id").alias("task_id"), "file_path", F.col("rank").alias("pos"))
-    expected = LQ.phrase_match(spark, sf).join(paths, "chunk_id").select(F.col("query_id").alias("task_id"), "file_path")
+    ranked = R.few(LQ.bm25_topk(spark, sf)).join(paths, "chunk_id").select(F.col("query_id").alias("task_id"), "file_path", F.col("rank").alias("pos"))
+    expected = R.few(LQ.phrase_match(spark, sf)).join(paths, "chunk_id").select(F.col("query_id").alias("task_id"), "file_path")
     return ranked, expected
 
 
