@@ -69,6 +69,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes written tables that are read no more; and shuffle files whose results were written go now, not when the driver next happens to collect its garbage."""
+    jvm = spark._jvm
+    for path in {f.rpartition("/")[0] for t in tables for f in t.inputFiles()}:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    jvm.System.gc()
+
+
 def empty_like(spark: SparkSession, schema: T.StructType | str) -> DataFrame:
     return spark.createDataFrame([], schema)
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, materialize, pick
+from .common import components, materialize, pick, release, scratch
 from .textops import buffers, gram_sets, lists, slices, words
 
 N = 3
@@ -120,6 +120,7 @@ def _common(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
             least = row.df + 1
             break
     got = df.where(F.col("df") >= least).toArrow()
+    release(docs.sparkSession, df)
     token, df = got["token"].to_numpy(), got["df"].to_numpy()
     place = np.empty(len(token), np.int64)
     place[np.lexsort((token, df))] = np.arange(len(token))
@@ -385,7 +386,8 @@ def _compared(docs: DataFrame, reps: DataFrame, bits: DataFrame, n: int, thresho
     by = Window.partitionBy("token")
     shared = tokens.withColumns({"lo": F.min("grp").over(by), "hi": F.max("grp").over(by)}).where("lo <> hi").select("token", "doc_id", "grp")
     # rows that repeat an id count once
-    shared = materialize(shared.distinct(), "tokens")
+    written = shared = materialize(shared.distinct(), "tokens")
+    release(docs.sparkSession)
     # groups whose sizes rule out every member are left out before anything is counted
     t = threshold
     sizes = reps.groupBy(F.col("grp").alias("g")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
@@ -398,6 +400,7 @@ def _compared(docs: DataFrame, reps: DataFrame, bits: DataFrame, n: int, thresho
     own = f"{t / (1 + t)} * (n + greatest(least, {t} * n)) - {t} * n"
     other = f"{t / (1 + t)} * (n + least(most, n / {t})) - {t} * least(most, n / {t})"
     opened = materialize(hits.where(f"hits >= least({own}, {other}) - 1e-6").select("doc_id", F.col("g").alias("grp")), "opened")
+    release(docs.sparkSession, written)
 
     of = reps.select("doc_id", "copies", "grp")
     return _sets(docs, of, opened, bits, threshold, group).mapInArrow(_opener(n, threshold, classes), "doc_a long, doc_b long, value double")
@@ -484,9 +487,13 @@ def near_duplicate_groups(docs: DataFrame, n: int = N, threshold: float = THRESH
 
 def drop_near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, of each group of near duplicates only those of its least doc_id. Documents that join nothing stay, null ids too; rows that repeat a kept id all stay."""
-    lose = near_duplicate_groups(docs, n, threshold).where("doc_id <> keeper").select(F.col("doc_id").alias("_lost"))
-    # texts stay where they are while the ids to leave out are few enough to be sent to them
-    lose = materialize(lose, "lost")
+    # of what is written on the way only the ids to leave out are kept
+    with scratch(docs.sparkSession) as written:
+        lose = materialize(near_duplicate_groups(docs, n, threshold).where("doc_id <> keeper").select(F.col("doc_id").alias("_lost")), "lost")
+        written.pop()
+    # where the caller deletes what is written, it does so with this too
+    release(docs.sparkSession)
+    # texts stay where they are while those ids are few enough to be sent to them
     hint = F.broadcast if lose.count() <= BROADCAST_ROWS else lambda x: x
     plain = docs.toDF(*[f"_{k}" for k in range(len(docs.columns))])
     return plain.join(hint(lose), plain[f"_{docs.columns.index('doc_id')}"] == lose["_lost"], "left_anti").toDF(*docs.columns)

@@ -225,3 +225,16 @@ def test_frequent_ngrams_show_in_an_input_of_any_size(spark, monkeypatch):
     assert len(N._common(docs, 3)[0]) == 1
     monkeypatch.setattr(N, "COMMON", 0)
     assert len(N._common(docs, 3)[0]) == 0
+
+
+def test_only_the_ids_to_leave_out_stay_written(spark):
+    import os
+
+    from codelode.llm.common import shared_folder
+
+    at = shared_folder(spark).removeprefix("file://")
+    before = set(os.listdir(at))
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (3, "u v w x y z")], "doc_id long, text string")
+    out = N.drop_near_duplicates(docs)
+    assert [x.partition("-")[0] for x in set(os.listdir(at)) - before] == ["lost"]
+    assert sorted(r.doc_id for r in out.collect()) == [1, 3]
